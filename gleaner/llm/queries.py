@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe_round_trip
 from .fingerprints import op3_fingerprints
 from .licenses import op2_license_scan
+from .packing import op9_sum_of_squares_packing
+from .token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_fingerprints, op7_bpe_round_trip, op9_sum_of_squares_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
