@@ -1,15 +1,73 @@
-"""The corpus pipeline: stages applied in turn to the documents table."""
+"""The corpus pipeline: quality classifier, near-duplicate removal, repeated-passage removal, packing.
+
+Every stage but the last returns the columns of documents; ``run`` writes each stage's rows to the
+shared folder and reads them again, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm.common import Scratch, numbered
+from gleaner.llm.near_dedup import near_duplicates
+from gleaner.llm.packing import pack, token_pieces
+from gleaner.llm.quality import classify
+from gleaner.llm.suffix_dedup import WINDOW, cut_text, repeated_windows
+from gleaner.llm.removal import finish
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    scratch = Scratch(spark, "stage-quality")
+    rows, _ = numbered(docs, scratch)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    mine = rows.select(F.col("doc_id").alias("_doc"), "_uid")
+    known = labels.join(mine, F.col("doc_id") == F.col("_doc")).select(F.col("_uid").alias("doc_id"), "quality")
+    asked = rows.select(F.col("_uid").alias("doc_id"), *[c for c in rows.columns if c not in ("doc_id", "_uid")])
+    kept = classify(asked, known, name="stage-quality").filter("keep").select(F.col("doc_id").alias("_uid"))
+    return rows.join(kept, "_uid", "left_semi").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near duplicates (five-word shingles)."""
+    rows, _ = numbered(docs, Scratch(spark, "stage-near"))
+    kept = near_duplicates(rows.select(F.col("_uid").alias("doc_id"), "text"), name="stage-near").filter("kept").select(F.col("doc_id").alias("_uid"))
+    return rows.join(kept, "_uid", "left_semi").select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of repeated 100-byte strings; halves of characters at a cut go too."""
+    scratch = Scratch(spark, "stage-suffix")
+    rows, _ = numbered(docs, scratch)
+    found = rows.select("doc_id", F.col("_uid").alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
+    gone = repeated_windows(found, scratch, WINDOW)
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "uid")]
+    whole = rows.withColumnRenamed("_uid", "uid") if "uid" not in docs.columns else rows.drop("uid").withColumnRenamed("_uid", "uid")
+    cut = finish(whole, gone, cut_text(WINDOW), "kept string", extra)
+    out = cut.withColumn("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All texts, tokenised and packed into sequences of 2048 tokens."""
+    return pack(token_pieces(docs, TOKENIZER), Scratch(spark, "stage-packing"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]
 
-STAGES: list = []
+#: Training, fuzzy matching and tokenisation have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
     return docs

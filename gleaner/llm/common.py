@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.shipping import ship
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -46,6 +48,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
@@ -67,15 +70,21 @@ def parts(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def unique_ids(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
-    """(rows of doc_id, uid, text; whether uid differs from doc_id).
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(docs with the column _uid; whether _uid differs from doc_id).
 
-    uid is doc_id where every doc_id is given and unique. Otherwise rows are numbered in the order
+    _uid is doc_id where every doc_id is given and unique. Otherwise rows are numbered in the order
     of doc_id (nulls first), then text; rows that repeat a doc_id then count as documents of their own.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    odd = base.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
+    odd = docs.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
     if odd.isEmpty():
-        return base.select("doc_id", F.col("doc_id").alias("uid"), "text"), False
-    order = base.orderBy(F.col("doc_id").asc_nulls_first(), "text").select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
-    return scratch.write(order, "numbered"), True
+        return docs.withColumn("_uid", F.col("doc_id").cast("long")), False
+    order = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    return scratch.write(order.withColumn("_uid", F.monotonically_increasing_id()), "numbered"), True
+
+
+def unique_ids(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """(rows of doc_id, uid, text (null: empty); whether uid differs from doc_id), as by ``numbered``."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows, renamed = numbered(base, scratch)
+    return rows.select("doc_id", F.col("_uid").alias("uid"), "text"), renamed

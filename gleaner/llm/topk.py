@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.shipping import ship
+
 #: Queries sent to the executors at once; with their vectors a few MB.
 CHUNK_QUERIES = 8192
 #: Candidates in a block, dimensions in a band.
@@ -97,6 +99,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, chunk: int = CHUNK_
     other ids. Rows that repeat a query's id are not among its candidates; vectors of different
     lengths are compared as if filled up with zeros; an empty table gives no rows.
     """
+    ship(vectors.sparkSession)
     rows = quantised(vectors, **cols)
     asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     n = asked.count()
