@@ -1,4 +1,8 @@
 """The engine's registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import retrieval
+
+QUERIES = {**retrieval.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL}
