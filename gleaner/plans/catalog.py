@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import corpus, retrieval
 
-QUERIES = {**retrieval.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL}
+_PLANS = (retrieval, corpus)
+QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
+ORACLE_SQL = {k: s for p in _PLANS for k, s in p.ORACLE_SQL.items()}
