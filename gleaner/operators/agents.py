@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EVENT = "type string, message struct<role:string, content:array<struct<type:string, text:string>>, usage:struct<totalTokens:bigint, input:bigint, cacheRead:bigint, output:bigint, cost:struct<total:double>>>"
 SPANS = "array<struct<path:string, start_line:int, end_line:int>>"
@@ -43,7 +44,7 @@ def first_object(text: str | None) -> dict | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_object(texts: pd.Series) -> pd.Series:
     """first_object of each text, as JSON; null without one."""
     return texts.map(lambda t: json.dumps(found) if (found := first_object(t)) is not None else None)
