@@ -18,8 +18,8 @@ BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public l
 #: label, keyword, how the licence is named in words.
 FAMILIES = [
     ("0bsd", "0bsd", r"0bsd"),
-    ("afl", "academic", r"academic free license"),
-    ("agpl", "affero", r"(?:gnu )?affero general public license"),
+    ("afl", "academic", r"academic free"),
+    ("agpl", "affero", r"(?:gnu )?affero general public"),
     ("apache", "apache", r"apache(?: software)?"),
     ("apsl", "apple", r"apple public source"),
     ("artistic", "artistic", r"artistic"),
