@@ -7,15 +7,18 @@ one class from the start. In each bucket the candidate edges form a star around
 document, so a bucket of m documents gives m - 1 edges, and each edge is confirmed on full sets.
 
 A star can miss a link between two of its leaves. So further rounds look at the buckets whose
-documents lie in several components: a new centre is drawn in each, its edges to other components
-that were not tried before are confirmed, until QUIET rounds in turn find no link.
+documents lie in several components: in each a new centre is drawn from the component with most
+documents there, and its edges to the documents of other components that were not tried before are
+confirmed, until QUIET rounds in turn find no link. Components that still share a bucket are then
+compared whole, in blocks of at most SIDE by SIDE documents: a block's task counts common shingles
+and gives one link for each document that has any, so no pairs are written out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, unique_ids
@@ -26,7 +29,11 @@ from .words import word_hashes
 BINS, ROWS = 128, 4
 SHINGLE, PERCENT = 5, 80
 #: Rounds without a new link that end the search, and leaves that meet one copy of a centre's set.
-QUIET, LEAVES = 2, 500
+QUIET, LEAVES = 1, 500
+#: Documents of a component on one side of a block.
+SIDE = 1024
+#: Places between components of a bucket that are compared, and turns in which none may have a link to end the search.
+STEPS, ALONE = (1, 2, 4, 8), 3
 _SKETCH = "uid long, n long, set1 long, set2 long, bands array<long>"
 
 
@@ -126,6 +133,60 @@ def could_link(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def component_pairs(placed: DataFrame, turn: int, compared: DataFrame | None) -> DataFrame:
+    """x < y: pairs of components that share a bucket and are to be compared in this turn: each with
+    the bucket's largest, and with those STEPS places on in an order drawn for this turn and bucket,
+    so the number of pairs is linear. placed: key, uid, n, label; compared: pairs to leave out."""
+    parts = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
+    several = parts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("big")).filter("labels > 1").select("key", F.col("big.label").alias("big"))
+    drawn = Window.partitionBy("key").orderBy(F.xxhash64("label", F.lit(turn), "key"))
+    here = parts.join(several, "key").select("label", "big", *[F.lead("label", s).over(drawn).alias(f"after{s}") for s in STEPS])
+    pair = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+    pairs = here.select(F.explode(F.array(pair("label", "big"), *[pair("label", f"after{s}") for s in STEPS])).alias("p")).select("p.x", "p.y").filter("x < y").distinct()
+    return pairs if compared is None else pairs.join(compared.select("x", "y"), ["x", "y"], "left_anti")
+
+
+def links_between(pairs: DataFrame, placed: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """One link at least for each pair of components (x, y) that has any. All components that are
+    paired with the same larger one are compared with it together: its documents in parts of SIDE,
+    theirs in parts of SIDE."""
+    who = scratch.write(placed.select("label", "uid").distinct(), "who")
+    size = who.groupBy("label").agg(F.count("*").alias("m"))
+    sized = pairs.join(size.select(F.col("label").alias("x"), F.struct("m", F.col("label").alias("c")).alias("sx")), "x").join(size.select(F.col("label").alias("y"), F.struct("m", F.col("label").alias("c")).alias("sy")), "y")
+    sized = scratch.write(sized.select(F.greatest("sx", "sy").alias("big"), F.least("sx", "sy").alias("small")).select("big.c", F.col("small.c").alias("label")), "sized")
+    small = scratch.write(sized.join(who, "label").select("c", "uid"), "small")
+    parts = small.groupBy("c").agg(F.ceil(F.count("*") / SIDE).alias("ks")).join(size.select(F.col("label").alias("c"), F.ceil(F.col("m") / SIDE).alias("kb")), "c")
+    parts = scratch.write(parts, "parts")
+
+    def side(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        """Each document of a side, in each block of its part with a part of the other side; columns of its own."""
+        rows = rows.join(parts, "c").withColumn("part", F.pmod(F.xxhash64("uid"), F.col(mine)))
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("far")
+        rows = rows.select("c", "uid", "part", each)
+        at = ("part", "far") if mine == "ks" else ("far", "part")
+        return rows.select("c", F.col(at[0]).alias("ps"), F.col(at[1]).alias("pb"), "uid").join(sets, "uid").toDF("uid", "c", "ps", "pb", "n", "shingles")
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            right = right.combine_chunks()
+            lists = right["shingles"].combine_chunks() if isinstance(right["shingles"], pa.ChunkedArray) else right["shingles"]
+            flat, heads, nb, ub = lists.flatten().to_numpy(), np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py(), right["n"].to_numpy(), right["uid"].to_numpy()
+            for u, s in zip(left["uid"].to_pylist(), left["shingles"]):
+                mine = np.sort(s.values.to_numpy())
+                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                common = np.add.reduceat((mine[at] == flat).astype(np.int64), heads)
+                good = np.flatnonzero(100 * common >= percent * (len(mine) + nb - common))
+                if len(good):
+                    out_a.append(min(u, int(ub[good[0]])))
+                    out_b.append(max(u, int(ub[good[0]])))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    keys = ("c", "ps", "pb")
+    big = who.withColumnRenamed("label", "c")
+    return side(small, "ks", "kb").groupBy(*keys).cogroup(side(big, "kb", "ks").groupBy(*keys)).applyInArrow(block, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, name: str = "near_dedup") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs.
 
@@ -139,7 +200,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     made = scratch.write(sketches(rows, shingle), "sketches")
     ids = made.select("uid", "n", "set1", "set2")
     classes = ids.filter("n > 0").groupBy("set1", "set2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("m"))
-    member = scratch.write(ids.join(classes.filter("m > 1"), ["set1", "set2", "n"]).select("uid", "rep"), "classes")
+    several = scratch.write(classes.filter("m > 1"), "classes")  # written, so that a join with a hot class can be split
+    member = scratch.write(ids.join(several, ["set1", "set2", "n"]).select("uid", "rep"), "members")
     single = made.join(member.filter("uid <> rep"), "uid", "left_anti").filter("n > 0")
     banded = single.select(F.explode("bands").alias("key"), "uid", "n")
     buckets = banded.groupBy("key").agg(F.min(F.struct("uid", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
@@ -150,11 +212,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     tried = scratch.write(pairs.filter(could_link(percent)).select("a", "b").distinct(), "tried")
     links = scratch.write(confirmed(tried, sets, percent), "links")
     labels = components(links, scratch)
-    quiet = turn = 0
-    while quiet < QUIET:
+    quiet = turn = alone = 0
+    compared = None
+    while True:
         turn += 1
         placed = shared.select("key", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("uid", F.lit(turn), "key"), "uid", "n", "label")).alias("c")).filter("low < high")
+        if quiet >= QUIET:
+            pairs = scratch.write(component_pairs(placed, turn, compared), "pairs")
+            found = scratch.write(links_between(pairs, placed, sets, scratch, percent), "links")
+            if found.isEmpty():
+                alone += 1
+                if alone == ALONE:
+                    break
+                compared = pairs if compared is None else compared.unionByName(pairs)
+                continue
+            alone, compared = 0, None
+            links = links.unionByName(found)
+            labels = components(links, scratch)
+            continue
+        parts = placed.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("uid", F.lit(turn), "key"), "uid", "n")).alias("drawn"))
+        largest = F.max(F.struct("m", "label", "drawn"))
+        mixed = parts.groupBy("key").agg(F.count("*").alias("labels"), largest.alias("c")).filter("labels > 1").select("key", F.struct("c.label", "c.drawn.uid", "c.drawn.n").alias("c"))
         cross = placed.join(mixed, "key").filter("label <> c.label")
         cross = cross.select(F.least("uid", "c.uid").alias("a"), F.greatest("uid", "c.uid").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb")).filter(could_link(percent))
         fresh = scratch.write(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
