@@ -1,26 +1,55 @@
-"""Shared helpers: the shared folder, written intermediate tables, unique document ids."""
+"""Shared helpers: small Arrow batches, written intermediate tables, unique document ids."""
 
 from __future__ import annotations
 
 import atexit
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.shared import shared_folder
 from gleaner.shipping import ship
 
+#: Rows and bytes of an Arrow batch, so that a worker holds a few MB of texts at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="gleaner-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def start(spark: SparkSession) -> None:
+    """What every operator with Python code needs: the package on the executors, and small batches
+    unless the session has its own setting."""
+    ship(spark)
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) in (None, usual):
+            spark.conf.set(name, str(ours))
+
+
+def _tidy() -> None:
+    """Gives a worker's freed memory back, as it may be kept for a later task."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """rows.mapInArrow(run, schema), tidying up after each task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _tidy()
+
+    start(rows.sparkSession)
+    return rows.mapInArrow(tidied, schema)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -48,7 +77,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        start(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0

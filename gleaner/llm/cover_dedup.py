@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts, unique_ids
+from .common import Scratch, map_arrow, parts, unique_ids
 from .removal import GONE, HOLDER, OCCURRENCE, OPEN, batch_of, finish, gone_by_document, joined, spread
 from .rolling import Spans, merged, signed, sliding
 from .suffix_dedup import gone_rows
@@ -73,7 +73,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             if shared.any():
                 yield batch_of(HOLDER, h[shared], 0, u[shared], np.zeros(shared.sum(), np.int32), np.zeros(shared.sum(), np.int32), True)
 
-    return docs.select("uid", "text").mapInArrow(run, OCCURRENCE)
+    return map_arrow(docs.select("uid", "text"), run, OCCURRENCE)
 
 
 def shared_anchors(batches):
@@ -138,7 +138,7 @@ def first_look(docs: DataFrame, known: DataFrame) -> DataFrame:
                     out.append((doc[r].as_py(), uid[r].as_py(), len(h), 0, None if pieces else hashlib.sha256(b" ".join(whole.encode().split())).hexdigest(), whole if pieces else None, pieces))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["doc_id", "uid", "n_words", "n_removed", "kept_sha256", "text", "pieces"])
 
-    return rows.mapInArrow(run, _DOC)
+    return map_arrow(rows, run, _DOC)
 
 
 def settle_documents(keep_several: bool):
@@ -189,7 +189,7 @@ def window_rows(docs: DataFrame, holders: DataFrame) -> DataFrame:
             yield from gone_rows(uid[late], s[late], s[late] + 1)
             yield batch_of(OPEN, key[order], digest[order], uid[order], s[order], s[order] + 1, False)
 
-    return rows.mapInArrow(run, OCCURRENCE)
+    return map_arrow(rows, run, OCCURRENCE)
 
 
 def _without(text: str, s: np.ndarray, e: np.ndarray):
@@ -212,15 +212,15 @@ def cover_dedup(docs: DataFrame, name: str = "cover_dedup") -> DataFrame:
     found = scratch.write(anchor_rows(rows), "anchors")
     n = parts(spark)
     many = max(n, -(-found.count() // 400_000))
-    told = spread(found.filter(F.col("kind") == OPEN).select("key", "uid", "flag"), many, "key").mapInArrow(shared_anchors, "key long, uid long")
+    told = map_arrow(spread(found.filter(F.col("kind") == OPEN).select("key", "uid", "flag"), many, "key"), shared_anchors, "key long, uid long")
     known = found.filter(F.col("kind") == HOLDER).select("key", "uid").unionByName(told)
     looked = scratch.write(first_look(rows, known), "looked")
     scratch.drop(found)
     open_ = looked.filter("pieces is not null")
     pieces = open_.select("uid", F.explode("pieces").alias("p")).select("p.key", "p.digest", "uid", "p.s", "p.e")
-    settled = scratch.write(spread(pieces, n, "key").mapInArrow(settle_documents(True), OCCURRENCE), "settled")
+    settled = scratch.write(map_arrow(spread(pieces, n, "key"), settle_documents(True), OCCURRENCE), "settled")
     windows = scratch.write(window_rows(open_.select("uid", "text"), settled.filter(F.col("kind") == HOLDER)), "windows")
-    compared = spread(windows.filter(F.col("kind") == OPEN).select("key", "digest", "uid", "s", "e"), n, "key").mapInArrow(settle_documents(False), OCCURRENCE)
+    compared = map_arrow(spread(windows.filter(F.col("kind") == OPEN).select("key", "digest", "uid", "s", "e"), n, "key"), settle_documents(False), OCCURRENCE)
     gone = gone_by_document(settled, windows, compared)
     done = looked.filter("pieces is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     return done.unionByName(finish(open_.select("doc_id", "uid", "text"), gone, _without, RESULT).drop("uid"))

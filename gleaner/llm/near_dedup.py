@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, unique_ids
+from .common import Scratch, map_arrow, unique_ids
 from .components import components
 from .rolling import Spans, mix, signed
 from .words import word_hashes
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)), mask=pa.array(n == 0))
                 yield pa.RecordBatch.from_arrays([pa.array(uids[rows]), pa.array(n), pa.array(signed(one)), pa.array(signed(two)), bands], ["uid", "n", "set1", "set2", "bands"])
 
-    return docs.select("uid", "text").mapInArrow(run, _SKETCH)
+    return map_arrow(docs.select("uid", "text"), run, _SKETCH)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -115,7 +115,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 ends = np.searchsorted(owner, np.arange(len(rows) + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(uids[rows]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(h)))], ["uid", "n", "shingles"])
 
-    return docs.select("uid", "text").join(wanted, "uid", "left_semi").mapInArrow(run, "uid long, n long, shingles array<long>")
+    return map_arrow(docs.select("uid", "text").join(wanted, "uid", "left_semi"), run, "uid long, n long, shingles array<long>")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

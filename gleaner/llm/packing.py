@@ -19,9 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.shipping import ship
-
-from .common import Scratch
+from .common import Scratch, map_arrow
 from .token_counts import Pieces
 
 CAPACITY = 2048
@@ -93,8 +91,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
             cols = zip(*rows) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, _PIECES)
 
 
 def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:

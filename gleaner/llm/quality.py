@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_arrow
 
 #: Hashed content features, rounds, and the calibrated
 #: probability from which a view's label is passed to the other.
@@ -135,17 +135,20 @@ def _sums(weights: np.ndarray, flat: np.ndarray, bounds: np.ndarray, values: np.
 
 
 class Fit:
-    """AdaGrad in batches of MINI rows; an Arrow batch is passed over EPOCHS times, or until it gave STEPS steps."""
+    """AdaGrad in batches of MINI rows; an Arrow batch is passed over EPOCHS times, or, while there
+    are few rows so far, until the fit has made STEPS steps."""
 
     def __init__(self, start: np.ndarray):
-        self.w, self.squares, self.rows = start.copy(), np.full(len(start), 1e-6), 0
+        self.w, self.squares, self.rows, self.steps = start.copy(), np.full(len(start), 1e-6), 0, 0
 
     def add(self, lists: pa.ListArray, label: np.ndarray, use: np.ndarray) -> None:
         flat, bounds = _flat(lists)
         chosen = np.flatnonzero(use)
         self.rows += len(chosen)
         sizes = np.diff(bounds)
-        epochs = max(EPOCHS, -(-STEPS // max(1, -(-len(chosen) // MINI))))
+        per_epoch = max(1, -(-len(chosen) // MINI))
+        epochs = max(EPOCHS, -(-(STEPS - self.steps) // per_epoch))
+        self.steps += epochs * per_epoch
         for _ in range(epochs):
             for at in range(0, len(chosen), MINI):
                 rows = chosen[at : at + MINI]
@@ -162,7 +165,7 @@ class Fit:
                 self.w -= RATE * g / np.sqrt(self.squares)
 
 
-#: Rows of a step, least passes over an Arrow batch and steps in it, step length and ridge of the logistic fit.
+#: Rows of a step, least passes over an Arrow batch, least steps of a fit, step length and ridge of the logistic fit.
 MINI, EPOCHS, STEPS, RATE, RIDGE = 64, 4, 250, 0.3, 1e-6
 
 
@@ -180,7 +183,7 @@ def features(docs: DataFrame) -> DataFrame:
             two = [page_features(t, a, b).astype(np.int16) for t, a, b in zip(text, lang, source)]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(one, kind), pa.array(two, kind)], ["doc_id", "content", "page"])
 
-    return rows.mapInArrow(run, "doc_id long, content array<short>, page array<short>")
+    return map_arrow(rows, run, "doc_id long, content array<short>, page array<short>")
 
 
 _STATS = "view string, label int, feature int, n long"
@@ -214,7 +217,7 @@ def fit_round(examples: DataFrame, views: dict[str, View], confident: float | No
                 yield pa.RecordBatch.from_arrays([pa.array([v] * len(w)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w * n), pa.array(np.full(len(w), n))], ["view", "feature", "total", "n"])
 
     out = {v: View(views[v].weights.copy()) for v in _VIEWS}
-    rows = examples.mapInArrow(run, "view string, feature int, total double, n long").groupBy("view", "feature").agg((F.sum("total") / F.sum("n")).alias("w"))
+    rows = map_arrow(examples, run, "view string, feature int, total double, n long").groupBy("view", "feature").agg((F.sum("total") / F.sum("n")).alias("w"))
     for view, table in rows.toPandas().groupby("view"):  # as many rows as there are weights
         out[view].weights[table["feature"].to_numpy()] = table["w"].to_numpy()
     return out
@@ -239,7 +242,7 @@ def calibrate(labelled: DataFrame, views: dict[str, View], edges: dict[str, np.n
                 yield pa.RecordBatch.from_arrays([pa.array([v] * CURVE), pa.array(np.full(CURVE, k, np.int32)), pa.array(np.arange(CURVE, dtype=np.int32)), pa.array(seen[v][k])], ["view", "label", "feature", "n"])
 
     table = {v: np.zeros((2, CURVE)) for v in _VIEWS}
-    for r in labelled.mapInArrow(run, _STATS).groupBy("view", "label", "feature").agg(F.sum("n").alias("n")).collect():  # 4 * CURVE rows
+    for r in map_arrow(labelled, run, _STATS).groupBy("view", "label", "feature").agg(F.sum("n").alias("n")).collect():  # 4 * CURVE rows
         table[r.view][r.label, r.feature] = r.n
     for v in _VIEWS:
         bad, good = table[v]
@@ -270,7 +273,7 @@ def score_edges(labelled: DataFrame, views: dict[str, View]) -> dict[str, np.nda
                 low[v], high[v] = min(low[v], s.min(initial=np.inf)), max(high[v], s.max(initial=-np.inf))
         yield pa.RecordBatch.from_arrays([pa.array(_VIEWS), pa.array([low[v] for v in _VIEWS]), pa.array([high[v] for v in _VIEWS])], ["view", "low", "high"])
 
-    rows = labelled.mapInArrow(run, "view string, low double, high double").groupBy("view").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    rows = map_arrow(labelled, run, "view string, low double, high double").groupBy("view").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
     return {r.view: np.linspace(r.low, r.high, CURVE) for r in rows}
 
 
@@ -316,7 +319,7 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident
             both = 1 / (1 + np.exp(-(odds - np.log(share / (1 - share)))))
             yield pa.RecordBatch.from_arrays([c["doc_id"], *[pa.array(np.round(x, 6)) for x in (p["content"], p["page"], both)]], ["doc_id", "content_score", "page_score", "quality_score"])
 
-    return made.mapInArrow(run, "doc_id long, content_score double, page_score double, quality_score double").withColumn("keep", F.col("quality_score") >= keep)
+    return map_arrow(made, run, "doc_id long, content_score double, page_score double, quality_score double").withColumn("keep", F.col("quality_score") >= keep)
 
 
 def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

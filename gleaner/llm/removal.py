@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: An occurrence of a piece: key (pieces with different keys share no window), digest, document,
 #: first window, end of windows; flag: see the operator.
 OCCURRENCE = "kind int, key long, digest long, uid long, s int, e int, flag boolean"
@@ -72,4 +74,4 @@ def finish(docs: DataFrame, gone: DataFrame, one: Callable, schema: str, extra:
             columns = list(zip(*made)) if made else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*[cols[c] for c in carried], *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*carried, *names])
 
-    return rows.mapInArrow(run, f"{carried_schema}, {schema}")
+    return map_arrow(rows, run, f"{carried_schema}, {schema}")

@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts, unique_ids
+from .common import Scratch, map_arrow, parts, unique_ids
 from .removal import GONE, HOLDER, OCCURRENCE, OPEN, arrays, batch_of, finish, first_of_each, gone_by_document, joined, spread
 from .rolling import Spans, blocks, merged, mix, signed, sliding
 from .suffix_sort import sort_suffixes
@@ -92,7 +92,7 @@ def occurrences(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
             yield batch_of(OPEN, *(c[order[first]] for c in (key, digest, uid, s, e, flag)))
             yield from gone_rows(uid[order[~first]], s[order[~first]], e[order[~first]])
 
-    return docs.select("uid", "text").mapInArrow(run, OCCURRENCE)
+    return map_arrow(docs.select("uid", "text"), run, OCCURRENCE)
 
 
 def gone_rows(uid, s, e):
@@ -148,7 +148,7 @@ def shard_rows(docs: DataFrame, holders: DataFrame, window: int) -> DataFrame:
             if out:
                 yield _shard_batch(out)
 
-    return rows.mapInArrow(run, "key long, uid long, s int, data binary, hot boolean")
+    return map_arrow(rows, run, "key long, uid long, s int, data binary, hot boolean")
 
 
 def _shard_batch(rows) -> pa.RecordBatch:
@@ -219,13 +219,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gr
     n = parts(spark)
     rows = found.count()
     many = max(n, -(-rows // 400_000))
-    settled = spread(found.filter(F.col("kind") == OPEN), many, "key").mapInArrow(lambda b: settle_pieces(b, hot_texts), OCCURRENCE)
+    settled = map_arrow(spread(found.filter(F.col("kind") == OPEN), many, "key"), lambda b: settle_pieces(b, hot_texts), OCCURRENCE)
     settled = scratch.write(settled, "settled")
     holders = settled.filter(F.col("kind") == HOLDER)
     size = holders.agg(F.sum(F.col("e") - F.col("s") + (window - 1))).first()[0] or 0
     shards = max(n, -(-size // shard_bytes))
     texts = shard_rows(docs, holders, window).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    sorted_ = spread(texts, shards, "shard").mapInArrow(settle_shards(window, shard_bytes, shards), OCCURRENCE)
+    sorted_ = map_arrow(spread(texts, shards, "shard"), settle_shards(window, shard_bytes, shards), OCCURRENCE)
     return gone_by_document(found, settled, scratch.write(sorted_, "sorted"))
 
 

@@ -17,8 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.shipping import ship
-
+from .common import map_arrow
 from .bpe import REMEMBERED, Encoder
 
 #: Documents of more tokens are over the limit.
@@ -75,9 +74,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
             size = pa.array([len(t.encode()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), size, n], ["doc_id", "n_bytes", "n_tokens"])
 
-    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.shipping import ship
+from .common import map_arrow
 
 #: Queries sent to the executors at once; with their vectors a few MB.
 CHUNK_QUERIES = 8192
@@ -99,7 +99,6 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, chunk: int = CHUNK_
     other ids. Rows that repeat a query's id are not among its candidates; vectors of different
     lengths are compared as if filled up with zeros; an empty table gives no rows.
     """
-    ship(vectors.sparkSession)
     rows = quantised(vectors, **cols)
     asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     n = asked.count()
@@ -126,7 +125,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, chunk: int = CHUNK_
             sizes = [len(x) for x in best.ids]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(run, schema))
+        found.append(map_arrow(rows, run, schema))
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     every_list = found[0]
