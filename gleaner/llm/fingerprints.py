@@ -16,6 +16,8 @@ from .common import Scratch
 BLOCK_ROWS = 2000
 #: Members of a bucket that meet one copy of its first text.
 COPIES_PER_TEXT = 1000
+#: Blocks whose numbers (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_BLOCKS = 100_000
 _SEEDS = (0x5EED, 0xB0B5)
 
 
@@ -32,51 +34,65 @@ def digest(canon: Column) -> Column:
     return F.concat(*wide)
 
 
-def with_next(df: DataFrame, key: str, carried: list[str], n: int | None = None) -> DataFrame:
-    """Adds next_<c> for each carried column: its value in the row with the next larger key (null
-    keys come first), and after the last row its value in the first row.
+def with_next(df: DataFrame, key: str, carried: str, derive=lambda d: d, derived: tuple[str, ...] = ()) -> DataFrame:
+    """Adds next_<c> for ``carried`` and each derived column c: its value in the row with the next
+    larger key (null keys come first), and after the last row its value in the first row.
+    ``derive`` adds the derived columns to rows with ``carried``.
 
     Keys are cut into blocks of equal width, about BLOCK_ROWS rows each; neighbours inside a block
     come from a window over that block, and the last row of a block takes the first row of the next
     block, found by the same function over the blocks' first rows, which are 1/BLOCK_ROWS as many.
-    No window spans all rows, and ties are ordered by the carried columns.
+    No window spans all rows, and ties are ordered by the carried column.
     """
-    stats = df.agg(F.count("*"), F.min(key), F.max(key)).first()
-    n, low, high = stats
-    order = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in carried]]
-    if n <= BLOCK_ROWS or low is None:
+    n, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
+    one_block = n <= BLOCK_ROWS or low is None
+    if one_block:
         block = F.lit(0).cast("long")
     else:
         width = max(1, -(-(int(high) - int(low) + 1) * BLOCK_ROWS // n))
         block = F.coalesce(F.expr(f"({key} div {width}L) - ({int(low)}L div {width}L) + 1"), F.lit(0).cast("long"))
+    cols = (carried, *derived)
     blocked = df.withColumn("_block", block)
-    w = Window.partitionBy("_block").orderBy(*order)
-    inner = blocked.withColumn("_first", F.row_number().over(w) == 1).withColumn("_next", F.lead(F.struct(*carried)).over(w))
-    firsts = blocked.groupBy("_block").agg(F.min(F.struct(F.col(key), *carried)).alias("_f"))
-    firsts = firsts.select("_block", *[F.col(f"_f.{c}").alias(c) for c in carried])
-    if n <= BLOCK_ROWS or low is None:
-        w2 = firsts.select("_block", F.struct(*carried).alias("_after"))
+    w = Window.partitionBy("_block").orderBy(F.col(key).asc_nulls_first(), carried)
+    inner = derive(blocked).withColumn("_next", F.lead(F.struct(*cols)).over(w))
+    # a block's first row: its smallest key from a scan of keys alone, then only that row's text
+    heads = blocked.groupBy("_block").agg(F.min(key).alias("_key")).toDF("_head", "_key")
+    heads = F.broadcast(heads) if n // BLOCK_ROWS <= BROADCAST_BLOCKS else heads
+    first = blocked.join(heads, (F.col("_block") == F.col("_head")) & F.col(key).eqNullSafe(F.col("_key")))
+    first = first.groupBy("_block").agg(F.min(carried).alias(carried))
+    if one_block:
+        after = derive(first).select("_block", F.struct(*cols).alias("_after"))
     else:
-        w2 = with_next(firsts, "_block", carried).select("_block", F.struct(*[F.col(f"next_{c}").alias(c) for c in carried]).alias("_after"))
-    out = inner.join(w2, "_block", "left").withColumn("_next", F.coalesce("_next", "_after"))
-    return out.select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carried])
+        after = with_next(first.withColumnRenamed("_block", "_number"), "_number", carried, derive, derived).select(F.col("_number").alias("_block"), F.struct(*[F.col(f"next_{c}").alias(c) for c in cols]).alias("_after"))
+    out = inner.join(after, "_block", "left").withColumn("_next", F.coalesce("_next", "_after"))
+    return out.select(*df.columns, *derived, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in cols])
 
 
-def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, group_size, class_id: rows with equal canonical texts share class_id,
-    the smallest doc_id of their bucket; a row whose bytes differ from the bucket's first text (a
-    hash collision) gets its own text's SHA-256 appended to the fingerprint, so that equal
-    fingerprints always mean equal canonical bytes. Null ids are kept; null text counts as empty.
-    A hot bucket is met by several copies of its first text, one for COPIES_PER_TEXT members.
+def with_groups(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds group_size and class_id to prints (doc_id, fingerprint, ...), from a byte comparison of
+    canonical texts inside buckets of two or more: a row whose bytes differ from the bucket's first
+    text (a hash collision) gets its own text's SHA-256 appended to the fingerprint, so equal
+    fingerprints mean equal canonical bytes. Rows without an id stand alone.
+
+    A hot bucket is met by several copies of its first text, one for COPIES_PER_TEXT members; the
+    buckets are written first, so that joins with a hot one can be split.
     """
-    canon = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canon")).withColumn("fp", digest(F.col("canon")))
-    buckets = canon.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id")).filter("n > 1")
-    buckets = buckets.withColumn("copies", F.ceil(F.col("n") / COPIES_PER_TEXT))
-    salted = canon.join(buckets, "fp").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), "copies"))
-    reps = salted.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("fp", "copies").agg(F.min("canon").alias("first_text"))
-    reps = reps.select("fp", "first_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
-    checked = salted.join(reps, ["fp", "salt"], "left").select("doc_id", F.col("fp").alias("fingerprint"), "n", "class_id", (F.col("canon") == F.col("first_text")).alias("same"), F.sha2("canon", 256).alias("sha"))
-    return checked.select("doc_id", F.when(F.coalesce("same", F.lit(False)), F.col("fingerprint")).otherwise(F.concat("fingerprint", F.lit("-"), "sha")).alias("fingerprint"), F.col("n").alias("group_size"), F.when(F.coalesce("same", F.lit(False)), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    sizes = prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id")).filter("n > 1 and class_id is not null")
+    buckets = scratch.write(sizes.withColumn("copies", F.ceil(F.col("n") / COPIES_PER_TEXT)), "buckets")
+    shared = prints.filter("doc_id is not null").select("doc_id", "fingerprint").join(buckets, "fingerprint")
+    shared = scratch.write(shared.groupBy("doc_id", "fingerprint", "n", "class_id", "copies").agg(F.count("*").alias("times")), "shared")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    canon = lambda df: df.withColumn("canon", canonical(F.col("text"))).withColumn("own", digest(F.col("canon"))).filter("own = fingerprint")
+    # texts are joined by a shuffle at every size, so that small tables show what large ones cost
+    members = canon(texts.join(shared.hint("merge"), "doc_id")).select("doc_id", "fingerprint", "n", "class_id", F.pmod(F.xxhash64("doc_id"), "copies").alias("salt"), "canon")
+    firsts = canon(texts.join(shared.filter("doc_id = class_id").hint("merge"), "doc_id")).groupBy("fingerprint", "copies").agg(F.min("canon").alias("first_text"))
+    firsts = firsts.select("fingerprint", "first_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
+    same = F.col("canon") == F.col("first_text")
+    checked = members.join(firsts, ["fingerprint", "salt"]).select("doc_id", "fingerprint", "n", F.when(same, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(~same, F.sha2("canon", 256)).alias("sha"))
+    checked = checked.groupBy("doc_id", "fingerprint").agg(F.max("n").alias("group_size"), F.min("class_id").alias("class_id"), F.max("sha").alias("sha"))
+    out = prints.join(checked, ["doc_id", "fingerprint"], "left")
+    mark = F.concat_ws("-", "fingerprint", "sha").alias("fingerprint")
+    return out.select(*[mark if c == "fingerprint" else c for c in prints.columns], F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -87,8 +103,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     ordered by text; extra columns are ignored. An exact digest is alike (1.0) or not (0.0).
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("fingerprint", digest(canonical(F.col("text"))))
-    linked = with_next(base, "doc_id", ["text", "fingerprint"])
+    linked = with_next(base, "doc_id", "text", lambda d: d.withColumn("fingerprint", digest(canonical(F.col("text")))), ("fingerprint",))
     n = F.char_length("text").cast("long")
     linked = linked.withColumn("n_chars", n).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     linked = linked.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("substring(next_text, 1, cut)")))
@@ -102,13 +117,4 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scratch = Scratch(spark, "fingerprints")
     prints = scratch.write(fingerprint_documents(docs), "prints")
-    return with_groups(docs, prints)
-
-
-def with_groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Adds group_size and class_id, from a byte comparison of the texts in buckets of two or more."""
-    size = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    shared = prints.select("doc_id", "fingerprint").join(size.filter("n > 1"), "fingerprint").select("doc_id").distinct()
-    groups = group_exact(docs.join(shared, "doc_id", "left_semi")).groupBy("doc_id", F.substring("fingerprint", 1, 32).alias("fingerprint")).agg(F.max("fingerprint").alias("checked"), F.max("group_size").alias("group_size"), F.min("class_id").alias("class_id"))
-    out = prints.join(groups, ["doc_id", "fingerprint"], "left")
-    return out.select(*[c if c != "fingerprint" else F.coalesce("checked", "fingerprint").alias("fingerprint") for c in prints.columns], F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return with_groups(docs, prints, scratch)
