@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, parts, unique_ids
-from .removal import GONE, HOLDER, OCCURRENCE, OPEN, batch_of, finish, gone_by_document, joined, spread
+from .removal import HOLDER, OCCURRENCE, OPEN, batch_of, finish, gone_by_document, joined, spread
 from .rolling import Spans, merged, signed, sliding
 from .suffix_dedup import gone_rows
 from .words import word_hashes

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, parts, unique_ids
-from .removal import GONE, HOLDER, OCCURRENCE, OPEN, arrays, batch_of, finish, first_of_each, gone_by_document, joined, spread
-from .rolling import Spans, blocks, merged, mix, signed, sliding
+from .removal import GONE, HOLDER, OCCURRENCE, OPEN, batch_of, finish, first_of_each, gone_by_document, joined, spread
+from .rolling import Spans, blocks, merged, signed, sliding
 from .suffix_sort import sort_suffixes
 
 WINDOW, GRAM = 100, 24
@@ -221,12 +221,14 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gr
     many = max(n, -(-rows // 400_000))
     settled = map_arrow(spread(found.filter(F.col("kind") == OPEN), many, "key"), lambda b: settle_pieces(b, hot_texts), OCCURRENCE)
     settled = scratch.write(settled, "settled")
+    early = scratch.write(found.filter(F.col("kind") == GONE), "early")
+    scratch.drop(found)  # most of its rows are settled; they need not stay on disk
     holders = settled.filter(F.col("kind") == HOLDER)
     size = holders.agg(F.sum(F.col("e") - F.col("s") + (window - 1))).first()[0] or 0
     shards = max(n, -(-size // shard_bytes))
     texts = shard_rows(docs, holders, window).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     sorted_ = map_arrow(spread(texts, shards, "shard"), settle_shards(window, shard_bytes, shards), OCCURRENCE)
-    return gone_by_document(found, settled, scratch.write(sorted_, "sorted"))
+    return gone_by_document(early, settled, scratch.write(sorted_, "sorted"))
 
 
 def remove_windows(window: int):
