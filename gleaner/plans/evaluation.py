@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import lexical, metrics
 from gleaner.operators.agents import event_usage
+from gleaner.shared import cut_lineage
 
 from .retrieval import _QTERMS, _UNITS, K, _bm25, _fts, _units
 from .tables import DOCUMENTS, documents, questions, read
@@ -30,10 +31,11 @@ def _hits(spark: SparkSession, sf: str, search, units: bool) -> DataFrame:
     docs = documents(spark, sf)
     if not units:
         found = search(docs, questions(spark, sf), K).join(docs, "doc_ord")
-        return found.select("query_id", "rank", "path", F.lit(1).cast("long").alias("start_line"), (F.lit(1) + F.regexp_count("text", F.lit("\n"))).cast("long").alias("end_line"))
+        return cut_lineage(found.select("query_id", "rank", "path", F.lit(1).cast("long").alias("start_line"), (F.lit(1) + F.regexp_count("text", F.lit("\n"))).cast("long").alias("end_line")))
     found = search(_units(spark, sf), questions(spark, sf), K)
     found = found.withColumn("file", F.floor(F.col("doc_ord") / 100_000)).withColumn("start_line", F.col("doc_ord") % 100_000)
-    return found.join(docs.select(F.col("doc_ord").alias("file"), "path"), "file").select("query_id", "rank", "path", "start_line", (F.col("start_line") + 9).alias("end_line"))
+    # a cut ranking is small and read by every metric, so it is worked out once
+    return cut_lineage(found.join(docs.select(F.col("doc_ord").alias("file"), "path"), "file").select("query_id", "rank", "path", "start_line", (F.col("start_line") + 9).alias("end_line")))
 
 
 def _bm25_hits(spark: SparkSession, sf: str) -> DataFrame:
