@@ -23,7 +23,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     found = rows.select("path", "text", F.explode(F.filter("asked", lambda q: F.contains(F.col("text"), q["query"]))).alias("q"))
     breaks = lambda c: (F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))).cast("long")
     start = 1 + breaks(F.expr("substring(text, 1, instr(text, q.query) - 1)"))
-    return found.select("q.query_id", "path", start.alias("start_line"), (start + breaks(F.col("q.query"))).alias("end_line"))
+    return cut_lineage(found.select("q.query_id", "path", start.alias("start_line"), (start + breaks(F.col("q.query"))).alias("end_line")))
 
 
 def _hits(spark: SparkSession, sf: str, search, units: bool) -> DataFrame:
