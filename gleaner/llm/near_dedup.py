@@ -9,9 +9,9 @@ document, so a bucket of m documents gives m - 1 edges, and each edge is confirm
 A star can miss a link between two of its leaves. So further rounds look at the buckets whose
 documents lie in several components: in each a new centre is drawn from the component with most
 documents there, and its edges to the documents of other components that were not tried before are
-confirmed, until QUIET rounds in turn find no link. Components that still share a bucket are then
-compared whole, in blocks of at most SIDE by SIDE documents: a block's task counts common shingles
-and gives one link for each document that has any, so no pairs are written out.
+confirmed, until QUIET rounds in turn find no link. Then every two documents that share a bucket
+and lie in different components are compared, in blocks of about SIDE by SIDE documents: a block's
+task counts common shingles and gives a spanning forest of its links, so no pairs are written out.
 """
 
 from __future__ import annotations
@@ -30,10 +30,8 @@ BINS, ROWS = 128, 4
 SHINGLE, PERCENT = 5, 80
 #: Rounds without a new link that end the search, and leaves that meet one copy of a centre's set.
 QUIET, LEAVES = 1, 500
-#: Documents of a component on one side of a block.
-SIDE = 1024
-#: Places between components of a bucket that are compared, and turns in which none may have a link to end the search.
-STEPS, ALONE = (1, 2, 4, 8), 3
+#: Documents on one side of a block, and their shingles.
+SIDE, SIDE_SHINGLES = 1024, 1 << 20
 _SKETCH = "uid long, n long, set1 long, set2 long, bands array<long>"
 
 
@@ -133,58 +131,119 @@ def could_link(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def component_pairs(placed: DataFrame, turn: int, compared: DataFrame | None) -> DataFrame:
-    """x < y: pairs of components that share a bucket and are to be compared in this turn: each with
-    the bucket's largest, and with those STEPS places on in an order drawn for this turn and bucket,
-    so the number of pairs is linear. placed: key, uid, n, label; compared: pairs to leave out."""
-    parts = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
-    several = parts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("big")).filter("labels > 1").select("key", F.col("big.label").alias("big"))
-    drawn = Window.partitionBy("key").orderBy(F.xxhash64("label", F.lit(turn), "key"))
-    here = parts.join(several, "key").select("label", "big", *[F.lead("label", s).over(drawn).alias(f"after{s}") for s in STEPS])
-    pair = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    pairs = here.select(F.explode(F.array(pair("label", "big"), *[pair("label", f"after{s}") for s in STEPS])).alias("p")).select("p.x", "p.y").filter("x < y").distinct()
-    return pairs if compared is None else pairs.join(compared.select("x", "y"), ["x", "y"], "left_anti")
-
-
-def links_between(pairs: DataFrame, placed: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """One link at least for each pair of components (x, y) that has any. All components that are
-    paired with the same larger one are compared with it together: its documents in parts of SIDE,
-    theirs in parts of SIDE."""
-    who = scratch.write(placed.select("label", "uid").distinct(), "who")
-    size = who.groupBy("label").agg(F.count("*").alias("m"))
-    sized = pairs.join(size.select(F.col("label").alias("x"), F.struct("m", F.col("label").alias("c")).alias("sx")), "x").join(size.select(F.col("label").alias("y"), F.struct("m", F.col("label").alias("c")).alias("sy")), "y")
-    sized = scratch.write(sized.select(F.greatest("sx", "sy").alias("big"), F.least("sx", "sy").alias("small")).select("big.c", F.col("small.c").alias("label")), "sized")
-    small = scratch.write(sized.join(who, "label").select("c", "uid"), "small")
-    parts = small.groupBy("c").agg(F.ceil(F.count("*") / SIDE).alias("ks")).join(size.select(F.col("label").alias("c"), F.ceil(F.col("m") / SIDE).alias("kb")), "c")
-    parts = scratch.write(parts, "parts")
-
-    def side(rows: DataFrame, mine: str, other: str) -> DataFrame:
-        """Each document of a side, in each block of its part with a part of the other side; columns of its own."""
-        rows = rows.join(parts, "c").withColumn("part", F.pmod(F.xxhash64("uid"), F.col(mine)))
-        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("far")
-        rows = rows.select("c", "uid", "part", each)
-        at = ("part", "far") if mine == "ks" else ("far", "part")
-        return rows.select("c", F.col(at[0]).alias("ps"), F.col(at[1]).alias("pb"), "uid").join(sets, "uid").toDF("uid", "c", "ps", "pb", "n", "shingles")
-
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
-        if left.num_rows and right.num_rows:
-            right = right.combine_chunks()
-            lists = right["shingles"].combine_chunks() if isinstance(right["shingles"], pa.ChunkedArray) else right["shingles"]
-            flat, heads, nb, ub = lists.flatten().to_numpy(), np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py(), right["n"].to_numpy(), right["uid"].to_numpy()
-            for u, s in zip(left["uid"].to_pylist(), left["shingles"]):
-                mine = np.sort(s.values.to_numpy())
-                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-                common = np.add.reduceat((mine[at] == flat).astype(np.int64), heads)
-                good = np.flatnonzero(100 * common >= percent * (len(mine) + nb - common))
-                if len(good):
-                    out_a.append(min(u, int(ub[good[0]])))
-                    out_b.append(max(u, int(ub[good[0]])))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    keys = ("c", "ps", "pb")
-    big = who.withColumnRenamed("label", "c")
-    return side(small, "ks", "kb").groupBy(*keys).cogroup(side(big, "kb", "ks").groupBy(*keys)).applyInArrow(block, "a long, b long").distinct()
+def meeting_groups(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """closure, key, uid, n, label: groups of documents, so that every two documents that share a bucket
+    and differ in label are together in one. placed: key, uid, n, label.
+
+    Buckets whose documents have one label need no group. The others are joined where they have a
+    document in common: such a closure is one group (key 0) if it fits a block or has no more pairs
+    than its buckets; of any other each bucket is a group."""
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("uid").alias("first")).filter("low <> high").select("key", "first")
+    mixed = scratch.write(placed.join(mixed, "key"), "mixed")
+    closures = components(mixed.filter("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b")), scratch)
+    docs = scratch.write(mixed.join(closures.select(F.col("node").alias("uid"), F.col("label").alias("closure")), "uid").select("closure", "key", "uid", "n", "label"), "closures")
+    buckets = docs.groupBy("closure", "key").agg(F.count("*").alias("m")).groupBy("closure").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    whole = docs.select("closure", "uid").distinct().groupBy("closure").agg(F.count("*").alias("m"))
+    whole = whole.join(buckets, "closure").select("closure", ((F.col("m") <= SIDE) | (F.col("m") * F.col("m") <= F.col("apart"))).alias("whole"))
+    return docs.join(whole, "closure").withColumn("key", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("key"))).drop("whole").distinct()
+
+
+def common_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n_left: int, n_right: int) -> np.ndarray:
+    """How many shingles each left document has in common with each right one. A side is (document,
+    shingle) of all its sets. Shingles that many have are counted as bits, the others pair by pair."""
+    sides = []
+    _, ids = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)
+    k = int(ids.max(initial=-1)) + 1
+    for owner, at in ((left[0], ids[: len(left[1])]), (right[0], ids[len(left[1]) :])):
+        order = np.argsort(at, kind="stable")
+        sides.append((owner[order], at[order], np.bincount(at, minlength=k)))
+    (lo, lt, ln), (ro, rt, rn) = sides
+    dense = (ln * rn > 0) & (ln * rn * 128 >= n_left * n_right)
+    common = np.zeros(n_left * n_right, np.int64)
+    rare = (ln * rn > 0) & ~dense
+    mine = np.flatnonzero(rare[lt])
+    ends = np.cumsum(rn[lt[mine]])
+    heads = np.cumsum(rn) - rn
+    at = 0
+    while at < len(mine):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 22), "right")))
+        some = mine[at:to]
+        many = rn[lt[some]]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(heads[lt[some]], many)
+        common += np.bincount(np.repeat(lo[some], many) * n_right + ro[place], minlength=len(common))
+        at = to
+    common = common.reshape(n_left, n_right)
+    column = np.cumsum(dense) - 1
+    for low in range(0, int(dense.sum()), 8192):
+        bits = []
+        for owner, t, n in ((lo, lt, n_left), (ro, rt, n_right)):
+            here = dense[t] & (column[t] >= low) & (column[t] < low + 8192)
+            has = np.zeros((n, min(8192, -(-(int(dense.sum()) - low) // 64) * 64)), bool)
+            has[owner[here], column[t[here]] - low] = True
+            bits.append(np.packbits(has, axis=1).view(np.uint64))
+        for i, row in enumerate(bits[0]):
+            common[i] += np.bitwise_count(bits[1] & row).sum(axis=1, dtype=np.int64)
+    return common
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of links (a, b) that join what all of them join, without a circle."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    out = []
+    _, firsts = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
+    for i in firsts.tolist():
+        p, q = top(int(a[i])), top(int(b[i]))
+        if p != q:
+            above[p] = q
+            out.append(i)
+    return out
+
+
+def links_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all documents of a group that are alike and differ in label.
+
+    A group's documents are dealt to parts: those of its largest label (kb parts) and the others (ks
+    parts). Each part of the others meets every part, so no two parts of the largest label meet."""
+    side = lambda m, n: F.greatest(F.ceil(F.col(m) / SIDE), F.ceil(F.col(n) / SIDE_SHINGLES))
+    labels = groups.groupBy("closure", "key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    size = labels.groupBy("closure", "key").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "label", "n")).alias("big"))
+    size = size.select("closure", "key", F.col("big.label").alias("big"), side("m", "n").alias("k"), side("big.m", "big.n").alias("kb"), (F.col("m") - F.col("big.m")).alias("ms"), (F.col("n") - F.col("big.n")).alias("ns"))
+    size = size.select("closure", "key", "big", F.when(F.col("k") == 1, 1).otherwise(side("ms", "ns")).alias("ks"), F.when(F.col("k") == 1, 0).otherwise(F.col("kb")).alias("kb"))
+    drawn = lambda k: F.pmod(F.xxhash64("uid"), F.col(k))
+    rows = groups.join(size, ["closure", "key"]).withColumn("part", F.when((F.col("label") == F.col("big")) & (F.col("kb") > 0), F.col("ks") + drawn("kb")).otherwise(drawn("ks")))
+    others = F.when(F.col("part") < F.col("ks"), F.col("ks") + F.col("kb")).otherwise(F.col("ks"))
+    rows = rows.select("closure", "key", "uid", "label", "part", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("far"))
+    rows = rows.select("closure", "key", F.least("part", "far").alias("p"), F.greatest("part", "far").alias("q"), "uid", "label", "part").join(sets, "uid")
+
+    def block(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        uid, label, part, n = (rows[c].to_numpy() for c in ("uid", "label", "part", "n"))
+        flat, starts = rows["shingles"].combine_chunks().flatten().to_numpy(), np.cumsum(n) - n
+        p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        out = []
+        if len(left) and len(right) and (label != label[0]).any():
+            sides = []
+            for docs in (left, right):
+                many = n[docs]
+                owner = np.repeat(np.arange(len(docs)), many)
+                sides.append((owner, flat[np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[docs], many)]))
+            common = common_counts(*sides, len(left), len(right))
+            good = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (label[left][:, None] != label[right][None, :])
+            i, j = np.nonzero(good)
+            if len(i):
+                out = [(left[i[x]], right[j[x]]) for x in forest(label[left[i]], label[right[j]])]
+        a, b = (uid[[x[k] for x in out]] if out else np.empty(0, np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return rows.groupBy("closure", "key", "p", "q").applyInArrow(block, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, name: str = "near_dedup") -> DataFrame:
@@ -212,24 +271,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     tried = scratch.write(pairs.filter(could_link(percent)).select("a", "b").distinct(), "tried")
     links = scratch.write(confirmed(tried, sets, percent), "links")
     labels = components(links, scratch)
-    quiet = turn = alone = 0
-    compared = None
+    quiet = turn = 0
     while True:
         turn += 1
         placed = shared.select("key", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         if quiet >= QUIET:
-            pairs = scratch.write(component_pairs(placed, turn, compared), "pairs")
-            found = scratch.write(links_between(pairs, placed, sets, scratch, percent), "links")
-            if found.isEmpty():
-                alone += 1
-                if alone == ALONE:
-                    break
-                compared = pairs if compared is None else compared.unionByName(pairs)
-                continue
-            alone, compared = 0, None
-            links = links.unionByName(found)
-            labels = components(links, scratch)
-            continue
+            groups = scratch.write(meeting_groups(placed, scratch), "groups")
+            found = scratch.write(links_within(groups, sets, percent), "links")
+            if not found.isEmpty():
+                labels = components(links.unionByName(found), scratch)
+            break
         parts = placed.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("uid", F.lit(turn), "key"), "uid", "n")).alias("drawn"))
         largest = F.max(F.struct("m", "label", "drawn"))
         mixed = parts.groupBy("key").agg(F.count("*").alias("labels"), largest.alias("c")).filter("labels > 1").select("key", F.struct("c.label", "c.drawn.uid", "c.drawn.n").alias("c"))

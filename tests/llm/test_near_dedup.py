@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from gleaner.llm import near_dedup
 from gleaner.llm.near_dedup import BINS, near_duplicates, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,3 +84,36 @@ def test_densified_bins_estimate_likeness():
     sig = signatures(np.repeat([0, 1], 50), np.concatenate(sets), 2)
     assert sig.shape == (2, BINS) and (sig > 0).all()
     assert abs((sig[0] == sig[1]).mean() - 40 / 60) < 0.2
+
+
+def templated(pages, pairs, seed=5):
+    """Pages with a common template, each two of them a little less alike than asked, and some pairs just alike enough."""
+    rnd = random.Random(seed)
+    template = [f"t{i}" for i in range(176)]
+    own = lambda i, k: [f"o{i}x{rnd.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for i in range(pages):
+        mine = own(i, 24)
+        rows.append(" ".join(template + mine))
+        if i < pairs:  # a twin that has three of the page's own words
+            rows.append(" ".join(template + mine[:3] + own(i, 21)))
+    rnd.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_links_between_leaves_of_a_large_template_group(spark, monkeypatch):
+    rows = templated(600, 30)
+    want = brute(rows, 2)
+    assert 20 <= sum(not kept for _, _, kept in want.values()) <= 60  # pairs, not one large component
+    assert run(spark, rows, shingle=2) == want
+    monkeypatch.setattr(near_dedup, "SIDE", 48)  # several parts; groups that are buckets
+    assert run(spark, rows, shingle=2) == want
+
+
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    for docs, words in ((3, 4), (60, 4000), (200, 900)):
+        sides = [[np.unique(np.minimum(rng.integers(0, words, 50), rng.integers(0, words, 50))) for _ in range(n)] for n in (docs, docs + 1)]
+        flat = [(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.concatenate(s)) for s in sides]
+        got = near_dedup.common_counts(*flat, docs, docs + 1)
+        assert (got == [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]).all()
