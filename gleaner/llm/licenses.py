@@ -1,8 +1,8 @@
 """Licence scan: ordered signature rules over a text's words, DataFrame functions only.
 
 A rule is (label, keyword, tier, regex) over the text's lower-case words joined by single spaces.
-One alternation over all keywords is the prefilter: a text without a keyword runs no rule, and a
-text with some runs only the rules of those keywords. Every detection is a word interval; an
+One alternation over all keywords, with or without a version, is the prefilter: a text without a
+keyword runs no rule, and a text with some runs only the rules of those keywords. Every detection is a word interval; an
 interval contained in another is suppressed (of equal intervals the better tier stays), and of two
 that overlap in part the later one stays only if its tier is better.
 """
@@ -57,7 +57,8 @@ FAMILIES = [
     ("php", "php", r"php"),
     ("postgresql", "postgresql", r"postgresql"),
     ("psf", "python", r"python(?: software foundation)?"),
-    ("qpl", "qpl", r"q public|qpl"),
+    ("qpl", "qpl", r"qpl"),
+    ("qpl", "q", r"q public"),
     ("ruby", "ruby", r"ruby"),
     ("sspl", "server", r"server side public"),
     ("unlicense", "unlicense", r"unlicense"),
@@ -105,6 +106,8 @@ SENTENCES = [
     ("proprietary", "proprietary", 3, r"proprietary and confidential"),
 ]
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What may follow a keyword in the same word, as in gplv3 and lgpl2.
+VERSION = r"(?:v?[123])?"
 MARK = "\x01"
 
 
@@ -162,7 +165,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     either = "|".join(p for p, _ in BASE)
     keywords = sorted({k for _, k, _, _ in table})
     rows = rows.withColumn("n_words", _spaces(words) - 1)
-    rows = rows.withColumn("hits", F.array_distinct(F.regexp_extract_all(words, F.lit(f" ({'|'.join(keywords)})(?= )"), F.lit(1))))
+    rows = rows.withColumn("hits", F.array_distinct(F.regexp_extract_all(words, F.lit(f" ({'|'.join(keywords)}){VERSION}(?= )"), F.lit(1))))
     rows = rows.withColumn("base", F.when(F.contains(words, F.lit(" license ")), F.struct(
         *[F.regexp_count(words, F.lit(f" {p}(?= )")).cast("long").alias(label) for p, label in BASE],
         F.regexp_extract(words, f"(?s)^(.*? )(?:{either}) ", 1).alias("before_first"),

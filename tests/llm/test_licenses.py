@@ -1,7 +1,7 @@
 import random
 import re
 
-from gleaner.llm.licenses import BASE, rules, scan_licenses
+from gleaner.llm.licenses import BASE, FAMILIES, SENTENCES, rules, scan_licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,3 +55,39 @@ def test_rules_are_many_and_gated():
 
 def test_empty_table(spark):
     assert scan(spark, []) == {}
+
+
+def strings(pattern):
+    """All strings that a pattern of literals, choices and optional parts can match (of a range its ends)."""
+
+    def of(parsed):
+        out = [""]
+        for op, arg in parsed:
+            match str(op):
+                case "LITERAL":
+                    some = [chr(arg)]
+                case "IN":
+                    some = [chr(c) for kind, v in arg for c in ((v,) if str(kind) == "LITERAL" else v)]
+                case "BRANCH":
+                    some = [x for branch in arg[1] for x in of(branch)]
+                case "SUBPATTERN":
+                    some = of(arg[3])
+                case "MAX_REPEAT":
+                    assert arg[:2] == (0, 1)
+                    some = ["", *of(arg[2])]
+                case other:
+                    raise AssertionError(other)
+            out = [x + y for x in out for y in some]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_string_of_a_rule_passes_the_gate(spark):
+    cases = [(label, f"Licensed under the {x}.") for label, _, name in FAMILIES for x in strings(name)]
+    cases += [(label, f"{x}.") for label, _, _, sentence in SENTENCES for x in strings(sentence)]
+    assert {x for x in strings(r"(?:gnu )?gpl(?:v?[123])?")} >= {"gpl", "gpl2", "gnu gplv3"}
+    rows = scan(spark, [x for _, x in cases] + ["GNU LGPLv3 license", "Q Public License", "the gplv4 and mit9 words"])
+    missed = [(label, x, rows[i].labels) for i, (label, x) in enumerate(cases) if label not in rows[i].labels.split(",")]
+    assert missed == []
+    assert [rows[len(cases) + i].labels for i in range(3)] == ["lgpl", "qpl", ""]
