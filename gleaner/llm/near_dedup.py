@@ -142,10 +142,14 @@ def meeting_groups(placed: DataFrame, scratch: Scratch) -> DataFrame:
     mixed = scratch.write(placed.join(mixed, "key"), "mixed")
     closures = components(mixed.filter("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b")), scratch)
     docs = scratch.write(mixed.join(closures.select(F.col("node").alias("uid"), F.col("label").alias("closure")), "uid").select("closure", "key", "uid", "n", "label"), "closures")
+    scratch.drop(mixed)
+    scratch.drop(closures)
     buckets = docs.groupBy("closure", "key").agg(F.count("*").alias("m")).groupBy("closure").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
     whole = docs.select("closure", "uid").distinct().groupBy("closure").agg(F.count("*").alias("m"))
     whole = whole.join(buckets, "closure").select("closure", ((F.col("m") <= SIDE) | (F.col("m") * F.col("m") <= F.col("apart"))).alias("whole"))
-    return docs.join(whole, "closure").withColumn("key", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("key"))).drop("whole").distinct()
+    groups = scratch.write(docs.join(whole, "closure").withColumn("key", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("key"))).drop("whole").distinct(), "groups")
+    scratch.drop(docs)
+    return groups
 
 
 def common_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n_left: int, n_right: int) -> np.ndarray:
@@ -276,8 +280,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         turn += 1
         placed = shared.select("key", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         if quiet >= QUIET:
-            groups = scratch.write(meeting_groups(placed, scratch), "groups")
+            groups = meeting_groups(placed, scratch)
+            scratch.drop(shared)
             found = scratch.write(links_within(groups, sets, percent), "links")
+            scratch.drop(groups)
+            scratch.drop(sets)
             if not found.isEmpty():
                 labels = components(links.unionByName(found), scratch)
             break
