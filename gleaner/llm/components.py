@@ -1,4 +1,4 @@
-"""Connected components of a table of links: least labels with pointer jumping."""
+"""Connected components of a table of links: least neighbours, and links contracted to what they join."""
 
 from __future__ import annotations
 
@@ -11,22 +11,25 @@ from .common import Scratch
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): for each node with a link the smallest node reachable. Links are (a, b).
 
-    Each step takes the least label among a node's neighbours, then the label of that label; the
-    labels are written between steps. Minima are formed before the shuffle, so a node with very
-    many links is no hot key, and the join of its links with its label can be split.
+    Each turn gives every node its least neighbour's least neighbour (or itself, if less), puts the
+    new names in the place of both ends of the links and drops the links that became loops or equal
+    ones, so a turn's tables are bounded by the components that are left, not by the links. Minima
+    are formed before the shuffle, so a node with very many links is no hot key, and joins with its
+    links can be split.
     """
-    both = scratch.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    labels = scratch.write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        step = step.join(up, "low", "left").select("node", F.col("label").alias("was"), F.least("low", F.coalesce("jump", "low")).alias("label"))
-        step = scratch.write(step, "labels")
-        changed = not step.filter("was <> label").isEmpty()
-        scratch.drop(labels)
-        labels = step.select("node", "label")
-        labels._scratch_path = step._scratch_path
-        if not changed:
-            scratch.drop(both)
-            return labels
+    left = scratch.write(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "left")
+    nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = scratch.write(nodes.withColumn("label", F.col("node")), "labels")
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = scratch.write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "hook")
+        jump = hook.join(hook.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select("a", "top")
+        up = scratch.write(jump, "up")
+        ends = left.join(up.select("a", F.col("top").alias("x")), "a").join(up.select(F.col("a").alias("b"), F.col("top").alias("y")), "b")
+        fewer = scratch.write(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "left")
+        named = labels.join(up.select(F.col("a").alias("label"), "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+        renamed = scratch.write(named, "labels")
+        for done in (left, hook, up, labels):
+            scratch.drop(done)
+        left, labels = fewer, renamed
+    return labels

@@ -6,7 +6,8 @@ covered places, so windows of PERIOD - 1 + ANCHOR words or more share an anchor.
 anchors stand in no other document are finished at once. In the others, the windows around shared
 anchors are extended to whole pieces (runs of windows with one minimizer), equal pieces are
 settled by their documents' order, and where a piece key has several texts the windows are
-compared one by one, by 128-bit digests.
+compared one by one. Anchors and keys are hashes of words and only find candidates; equality is
+decided by 128-bit cryptographic digests of the words' bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, parts, unique_ids
-from .removal import HOLDER, OCCURRENCE, OPEN, batch_of, finish, gone_by_document, joined, spread
+from .removal import HOLDER, OCCURRENCE, OPEN, batch_of, byte_digests, finish, gone_by_document, joined, spread
 from .rolling import Spans, merged, signed, sliding
 from .suffix_dedup import gone_rows
 from .words import word_hashes
@@ -44,11 +45,11 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray):
     return text[at], place[at], Spans(hashes).hash(at, at + ANCHOR)
 
 
-def documents_by_key(key, digest, uid):
+def documents_by_key(key, digest, more, uid):
     """(order by key, digest, document; whether the row's document is its group's smallest)."""
-    order = np.lexsort((uid, digest, key))
-    k, d, u = key[order], digest[order], uid[order]
-    heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])) if len(k) else np.empty(0, int)
+    order = np.lexsort((uid, more, digest, key))
+    k, d, m, u = key[order], digest[order], more[order], uid[order]
+    heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (m[1:] != m[:-1])])) if len(k) else np.empty(0, int)
     return order, u == np.repeat(u[heads], np.diff(np.append(heads, len(k))))
 
 
@@ -69,9 +70,9 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             h, u = rows["h"], rows["u"]
             heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             shared = np.repeat(np.diff(np.append(heads, len(h))) > 1, np.diff(np.append(heads, len(h))))
-            yield batch_of(OPEN, h[heads], 0, u[heads], np.zeros(len(heads), np.int32), np.zeros(len(heads), np.int32), shared[heads])
+            yield batch_of(OPEN, h[heads], 0, 0, u[heads], np.zeros(len(heads), np.int32), np.zeros(len(heads), np.int32), shared[heads])
             if shared.any():
-                yield batch_of(HOLDER, h[shared], 0, u[shared], np.zeros(shared.sum(), np.int32), np.zeros(shared.sum(), np.int32), True)
+                yield batch_of(HOLDER, h[shared], 0, 0, u[shared], np.zeros(shared.sum(), np.int32), np.zeros(shared.sum(), np.int32), True)
 
     return map_arrow(docs.select("uid", "text"), run, OCCURRENCE)
 
@@ -92,34 +93,41 @@ def shared_anchors(batches):
     yield pa.RecordBatch.from_arrays([pa.array(h[tell]), pa.array(u[tell])], ["key", "uid"])
 
 
-def pieces_of_words(hashes: np.ndarray, known: np.ndarray):
-    """(key, digest, first window, end of windows) of the runs of windows around shared anchors."""
+def spans_of_words(text: bytes, start: np.ndarray, end: np.ndarray):
+    """Digests of the words [start, end) of a text, joined by one space."""
+    words = text.split()
+    after = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+    return byte_digests(b" ".join(words), after[start], after[end] - 1)
+
+
+def pieces_of_words(hashes: np.ndarray, known: np.ndarray, text: bytes):
+    """(key, digest in two halves, first window, end of windows) of the runs of windows around shared anchors."""
     n = len(hashes) - WINDOW + 1
     _, place, h = anchors(hashes, np.array([0, len(hashes)]))
     place = place[np.isin(signed(h), known)]
     if n <= 0 or not len(place):
-        return [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        return [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32)]
     around = np.zeros(n + 1, np.int64)
     np.add.at(around, np.maximum(0, place - (WINDOW - ANCHOR)), 1)
     np.add.at(around, np.minimum(place + 1, n), -1)
     use = np.cumsum(around[:n]) > 0
-    m = sliding(Spans(hashes).grams(ANCHOR), WINDOW - ANCHOR + 1)[:n]
+    m = sliding(Spans(hashes).every(ANCHOR), WINDOW - ANCHOR + 1)[:n]
     opens = np.ones(n, bool)
     opens[1:] = (m[1:] != m[:-1]) | (use[1:] != use[:-1])
     s = np.flatnonzero(opens)
     e = np.append(s[1:], n)
     s, e = s[use[s]], e[use[s]]
-    return signed(m[s]), signed(Spans(hashes, 1).hash(s, e + WINDOW - 1)), s.astype(np.int32), e.astype(np.int32)
+    return signed(m[s]), *spans_of_words(text, s, e + WINDOW - 1), s.astype(np.int32), e.astype(np.int32)
 
 
-_DOC = "doc_id long, uid long, n_words long, n_removed long, kept_sha256 string, text string, pieces array<struct<key:bigint,digest:bigint,s:int,e:int>>"
+_DOC = "doc_id long, uid long, n_words long, n_removed long, kept_sha256 string, text string, pieces array<struct<key:bigint,digest:bigint,more:bigint,s:int,e:int>>"
 
 
 def first_look(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Documents without shared anchors, finished; the others with their text and pieces."""
     lists = known.groupBy("uid").agg(F.collect_set("key").alias("known"))
     rows = docs.join(lists, "uid", "left").select("doc_id", "uid", "text", "known")
-    struct = pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
+    struct = pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.int64()), ("more", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), struct]
 
     def run(batches):
@@ -130,11 +138,11 @@ def first_look(docs: DataFrame, known: DataFrame) -> DataFrame:
                 for k, r in enumerate(at.tolist()):
                     h = hashes[bounds[k] : bounds[k + 1]]
                     pieces = None
-                    if lists[r].is_valid:
-                        key, digest, s, e = pieces_of_words(h, lists[r].values.to_numpy())
-                        if len(key):
-                            pieces = [dict(zip(("key", "digest", "s", "e"), p)) for p in zip(key.tolist(), digest.tolist(), s.tolist(), e.tolist())]
                     whole = text[r].as_py()
+                    if lists[r].is_valid:
+                        found = pieces_of_words(h, lists[r].values.to_numpy(), whole.encode())
+                        if len(found[0]):
+                            pieces = [dict(zip(("key", "digest", "more", "s", "e"), p)) for p in zip(*(c.tolist() for c in found))]
                     out.append((doc[r].as_py(), uid[r].as_py(), len(h), 0, None if pieces else hashlib.sha256(b" ".join(whole.encode().split())).hexdigest(), whole if pieces else None, pieces))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["doc_id", "uid", "n_words", "n_removed", "kept_sha256", "text", "pieces"])
 
@@ -148,20 +156,20 @@ def settle_documents(keep_several: bool):
         held = list(batches)
         if not held:
             return
-        key, digest, uid, s, e = joined(pa.Table.from_batches(held))
+        key, digest, more, uid, s, e = joined(pa.Table.from_batches(held))
         if not len(uid):
             return
-        order, first = documents_by_key(key, digest, uid)
+        order, first = documents_by_key(key, digest, more, uid)
         late = order[~first]
         yield from gone_rows(uid[late], s[late], e[late])
         order = order[first]
-        k, d = key[order], digest[order]
+        k, d, m = key[order], digest[order], more[order]
         heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(heads, len(k)))
-        several = np.repeat(d[heads], size) != d
+        several = (np.repeat(d[heads], size) != d) | (np.repeat(m[heads], size) != m)
         on = order[np.repeat(np.logical_or.reduceat(several, heads), size)]
         if keep_several and len(on):
-            yield batch_of(HOLDER, key[on], digest[on], uid[on], s[on], e[on], False)
+            yield batch_of(HOLDER, key[on], digest[on], more[on], uid[on], s[on], e[on], False)
 
     return run
 
@@ -175,19 +183,16 @@ def window_rows(docs: DataFrame, holders: DataFrame) -> DataFrame:
         for batch in batches:
             uids, lists_s, lists_e = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
             found = []
-            for at, hashes, bounds in word_hashes(batch.column(1)):
-                one, two = Spans(hashes), Spans(hashes, 1)
-                for k, r in enumerate(at.tolist()):
-                    place = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(lists_s[r].values.to_pylist(), lists_e[r].values.to_pylist())]))
-                    w = place + bounds[k]
-                    found.append((signed(one.hash(w, w + WINDOW)), signed(two.hash(w, w + WINDOW)), np.full(len(w), uids[r]), place.astype(np.int32)))
+            for r, text in enumerate(batch.column(1)):
+                place = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(lists_s[r].values.to_pylist(), lists_e[r].values.to_pylist())]))
+                found.append((*spans_of_words(text.as_py().encode(), place, place + WINDOW), np.full(len(place), uids[r]), place.astype(np.int32)))
             if not found:
                 continue
-            key, digest, uid, s = (np.concatenate(c) for c in zip(*found))
-            order, first = documents_by_key(key, digest, uid)
+            digest, more, uid, s = (np.concatenate(c) for c in zip(*found))
+            order, first = documents_by_key(digest, digest, more, uid)
             late, order = order[~first], order[first]
             yield from gone_rows(uid[late], s[late], s[late] + 1)
-            yield batch_of(OPEN, key[order], digest[order], uid[order], s[order], s[order] + 1, False)
+            yield batch_of(OPEN, digest[order], digest[order], more[order], uid[order], s[order], s[order] + 1, False)
 
     return map_arrow(rows, run, OCCURRENCE)
 
@@ -217,10 +222,10 @@ def cover_dedup(docs: DataFrame, name: str = "cover_dedup") -> DataFrame:
     looked = scratch.write(first_look(rows, known), "looked")
     scratch.drop(found)
     open_ = looked.filter("pieces is not null")
-    pieces = open_.select("uid", F.explode("pieces").alias("p")).select("p.key", "p.digest", "uid", "p.s", "p.e")
+    pieces = open_.select("uid", F.explode("pieces").alias("p")).select("p.key", "p.digest", "p.more", "uid", "p.s", "p.e")
     settled = scratch.write(map_arrow(spread(pieces, n, "key"), settle_documents(True), OCCURRENCE), "settled")
     windows = scratch.write(window_rows(open_.select("uid", "text"), settled.filter(F.col("kind") == HOLDER)), "windows")
-    compared = map_arrow(spread(windows.filter(F.col("kind") == OPEN).select("key", "digest", "uid", "s", "e"), n, "key"), settle_documents(False), OCCURRENCE)
+    compared = map_arrow(spread(windows.filter(F.col("kind") == OPEN).select("key", "digest", "more", "uid", "s", "e"), n, "key"), settle_documents(False), OCCURRENCE)
     gone = gone_by_document(settled, windows, compared)
     done = looked.filter("pieces is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     return done.unionByName(finish(open_.select("doc_id", "uid", "text"), gone, _without, RESULT).drop("uid"))

@@ -4,21 +4,30 @@ A document's set of word shingles is hashed once; the hash's leading bits choose
 bin keeps its smallest hash. Empty bins borrow by optimal densification: a fixed random walk over
 the bins until one is filled. Bands of ROWS bins make bucket keys. Documents with equal sets are
 one class from the start. In each bucket the candidate edges form a star around its smallest
-document, so a bucket of m documents gives m - 1 edges, and each edge is confirmed on full sets.
-
-A star can miss a link between two of its leaves. So further rounds look at the buckets whose
-documents lie in several components: in each a new centre is drawn from the component with most
-documents there, and its edges to the documents of other components that were not tried before are
-confirmed, until QUIET rounds in turn find no link. Then every two documents that share a bucket
-and lie in different components are compared, in blocks of about SIDE by SIDE documents: a block's
-task counts common shingles and gives a spanning forest of its links, so no pairs are written out.
+document, the bucket's pivot, so a bucket of m documents gives m - 1 edges; most of a family share
+one pivot, so there are far fewer different edges. Each edge is confirmed on full sets.
+
+A star can miss a link between two of its leaves x and y. Both leaves differ from the pivot c by a
+few shingles only: D(x), those that just one of x and c has. With a = those of x alone, b = those of
+c alone and w = percent * a + 100 * b, counting shows that x and y are alike exactly if
+
+    (100 + percent) * |D(x) & D(y)| >= w(x) + w(y) - (100 - percent) * |c|,
+
+and that x is alike to c exactly if w(x) <= (100 - percent) * |c|. So the leaves of a pivot whose
+components differ are compared by these differences alone: a leaf goes out if not even its whole
+difference could reach the bound, and the rest meet in blocks of about SIDE by SIDE documents, whose
+tasks give a spanning forest of the links, so no pairs are written out. All leaves that share a
+bucket share its pivot, so no two candidates are left uncompared. Found links join components, not
+documents, so the last step works on a table of components.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, unique_ids
@@ -28,10 +37,10 @@ from .words import word_hashes
 
 BINS, ROWS = 128, 4
 SHINGLE, PERCENT = 5, 80
-#: Rounds without a new link that end the search, and leaves that meet one copy of a centre's set.
-QUIET, LEAVES = 1, 500
-#: Documents on one side of a block, and their shingles.
-SIDE, SIDE_SHINGLES = 1024, 1 << 20
+#: Leaves that meet one copy of a pivot's set.
+LEAVES = 500
+#: Documents on one side of a block, and the shingles of their differences.
+SIDE, SIDE_SHINGLES = 512, 1 << 20
 _SKETCH = "uid long, n long, set1 long, set2 long, bands array<long>"
 
 
@@ -89,15 +98,14 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             for rows, hashes, bounds in word_hashes(batch.column(1), lower=True):
                 owner, h = shingle_sets(hashes, bounds, size)
                 k = len(rows)
-                n = np.bincount(owner, minlength=k)
-                one, two = np.zeros(k, np.uint64), np.zeros(k, np.uint64)
-                heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, int)
-                if len(heads):
-                    one[owner[heads]] = np.add.reduceat(mix(h), heads)
-                    two[owner[heads]] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), heads)
+                ends = np.searchsorted(owner, np.arange(k + 1))
+                n = np.diff(ends)
+                whole = h.tobytes()
+                identity = b"".join([hashlib.blake2b(whole[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+                one, two = np.frombuffer(identity, np.int64).reshape(-1, 2).T
                 keys = signed(band_keys(signatures(owner, h, k)))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)), mask=pa.array(n == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(uids[rows]), pa.array(n), pa.array(signed(one)), pa.array(signed(two)), bands], ["uid", "n", "set1", "set2", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(uids[rows]), pa.array(n), pa.array(one), pa.array(two), bands], ["uid", "n", "set1", "set2", "bands"])
 
     return map_arrow(docs.select("uid", "text"), run, _SKETCH)
 
@@ -116,40 +124,27 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs.select("uid", "text").join(wanted, "uid", "left_semi"), run, "uid long, n long, shingles array<long>")
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose full sets are alike enough. A centre with very many leaves is met by
-    several copies of its set."""
-    degree = edges.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).alias("copies"))
-    dealt = edges.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "copies").alias("salt"))
-    leaves = dealt.join(sets.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
-    centres = sets.join(degree, sets.uid == degree.a).select("a", F.col("n").alias("na"), F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return leaves.join(centres, ["a", "salt"]).withColumn("common", common).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-
-
-def could_link(percent: int):
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-
+def with_sets(pairs: DataFrame, sets: DataFrame, *made) -> DataFrame:
+    """pairs (c, x, ...) with columns made from sc and sx, the sets of both. A pivot with very many
+    leaves is met by several copies of its set."""
+    degree = pairs.groupBy("c").agg(F.ceil(F.count("*") / LEAVES).alias("copies"))
+    dealt = pairs.join(degree, "c").select(*pairs.columns, F.pmod(F.xxhash64("x"), "copies").alias("salt"))
+    leaves = dealt.join(sets.select(F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("shingles").alias("sx")), "x")
+    pivots = sets.join(degree, sets.uid == degree.c).select("c", F.col("n").alias("nc"), F.col("shingles").alias("sc"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
+    return leaves.join(pivots, ["c", "salt"]).select(*pairs.columns, *made)
 
-def meeting_groups(placed: DataFrame, scratch: Scratch) -> DataFrame:
-    """closure, key, uid, n, label: groups of documents, so that every two documents that share a bucket
-    and differ in label are together in one. placed: key, uid, n, label.
 
-    Buckets whose documents have one label need no group. The others are joined where they have a
-    document in common: such a closure is one group (key 0) if it fits a block or has no more pairs
-    than its buckets; of any other each bucket is a group."""
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("uid").alias("first")).filter("low <> high").select("key", "first")
-    mixed = scratch.write(placed.join(mixed, "key"), "mixed")
-    closures = components(mixed.filter("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b")), scratch)
-    docs = scratch.write(mixed.join(closures.select(F.col("node").alias("uid"), F.col("label").alias("closure")), "uid").select("closure", "key", "uid", "n", "label"), "closures")
-    scratch.drop(mixed)
-    scratch.drop(closures)
-    buckets = docs.groupBy("closure", "key").agg(F.count("*").alias("m")).groupBy("closure").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
-    whole = docs.select("closure", "uid").distinct().groupBy("closure").agg(F.count("*").alias("m"))
-    whole = whole.join(buckets, "closure").select("closure", ((F.col("m") <= SIDE) | (F.col("m") * F.col("m") <= F.col("apart"))).alias("whole"))
-    groups = scratch.write(docs.join(whole, "closure").withColumn("key", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("key"))).drop("whole").distinct(), "groups")
-    scratch.drop(docs)
-    return groups
+def open_leaves(tried: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """c, x, label, w, d (the size of D(x)), slack: leaves that a leaf of the same pivot and of another
+    component might be alike to, by these sizes. tried: c, x, nc, nx, common."""
+    named = labels.withColumnRenamed("node", "x")
+    a, b = F.col("nx") - F.col("common"), F.col("nc") - F.col("common")
+    leaves = tried.select("c", "x", (percent * a + 100 * b).alias("w"), (a + b).alias("d"), ((100 - percent) * F.col("nc")).alias("slack"))
+    leaves = scratch.write(leaves.join(named, "x", "left").withColumn("label", F.coalesce("label", "x")), "leaves")
+    for _ in range(2):  # leaves that go out can leave a pivot's others with one component
+        group = leaves.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("w").alias("least")).filter("low <> high").select("c", "least")
+        leaves = leaves.join(group, "c").filter((100 + percent) * F.col("d") >= F.col("w") + F.col("least") - F.col("slack")).drop("least")
+    return scratch.write(leaves, "open")
 
 
 def common_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n_left: int, n_right: int) -> np.ndarray:
@@ -210,44 +205,47 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def links_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all documents of a group that are alike and differ in label.
+def links_within(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all leaves of a pivot that are alike and differ in label. leaves: c, x, label, w, slack, d.
 
-    A group's documents are dealt to parts: those of its largest label (kb parts) and the others (ks
-    parts). Each part of the others meets every part, so no two parts of the largest label meet."""
+    A pivot's leaves are dealt to parts: those of its largest component (kb parts) and the others (ks
+    parts). Each part of the others meets every part, so no two parts of the largest component meet."""
     side = lambda m, n: F.greatest(F.ceil(F.col(m) / SIDE), F.ceil(F.col(n) / SIDE_SHINGLES))
-    labels = groups.groupBy("closure", "key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    size = labels.groupBy("closure", "key").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "label", "n")).alias("big"))
-    size = size.select("closure", "key", F.col("big.label").alias("big"), side("m", "n").alias("k"), side("big.m", "big.n").alias("kb"), (F.col("m") - F.col("big.m")).alias("ms"), (F.col("n") - F.col("big.n")).alias("ns"))
-    size = size.select("closure", "key", "big", F.when(F.col("k") == 1, 1).otherwise(side("ms", "ns")).alias("ks"), F.when(F.col("k") == 1, 0).otherwise(F.col("kb")).alias("kb"))
-    drawn = lambda k: F.pmod(F.xxhash64("uid"), F.col(k))
-    rows = groups.join(size, ["closure", "key"]).withColumn("part", F.when((F.col("label") == F.col("big")) & (F.col("kb") > 0), F.col("ks") + drawn("kb")).otherwise(drawn("ks")))
+    labels = leaves.groupBy("c", "label").agg(F.count("*").alias("m"), F.sum("d").alias("n"))
+    size = labels.groupBy("c").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "label", "n")).alias("big"))
+    size = size.select("c", F.col("big.label").alias("big"), side("m", "n").alias("k"), side("big.m", "big.n").alias("kb"), (F.col("m") - F.col("big.m")).alias("ms"), (F.col("n") - F.col("big.n")).alias("ns"))
+    size = size.select("c", "big", F.when(F.col("k") == 1, 1).otherwise(side("ms", "ns")).alias("ks"), F.when(F.col("k") == 1, 0).otherwise(F.col("kb")).alias("kb"))
+    difference = F.concat(F.array_except("sx", "sc"), F.array_except("sc", "sx"))
+    rows = with_sets(leaves.select("c", "x", "label", "w", "slack"), sets, difference.alias("d")).join(size, "c")
+    drawn = lambda k: F.pmod(F.xxhash64("x"), F.col(k))
+    rows = rows.withColumn("part", F.when((F.col("label") == F.col("big")) & (F.col("kb") > 0), F.col("ks") + drawn("kb")).otherwise(drawn("ks")))
     others = F.when(F.col("part") < F.col("ks"), F.col("ks") + F.col("kb")).otherwise(F.col("ks"))
-    rows = rows.select("closure", "key", "uid", "label", "part", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("far"))
-    rows = rows.select("closure", "key", F.least("part", "far").alias("p"), F.greatest("part", "far").alias("q"), "uid", "label", "part").join(sets, "uid")
+    rows = rows.select("c", "x", "label", "w", "slack", "d", "part", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("far"))
+    rows = rows.select("c", F.least("part", "far").alias("p"), F.greatest("part", "far").alias("q"), "x", "label", "w", "slack", "d", "part")
 
     def block(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        uid, label, part, n = (rows[c].to_numpy() for c in ("uid", "label", "part", "n"))
-        flat, starts = rows["shingles"].combine_chunks().flatten().to_numpy(), np.cumsum(n) - n
-        p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
+        x, label, w, part = (rows[c].to_numpy() for c in ("x", "label", "w", "part"))
+        lists = rows["d"].combine_chunks()
+        flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        slack, p, q = rows["slack"][0].as_py(), rows["p"][0].as_py(), rows["q"][0].as_py()
         left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
         out = []
         if len(left) and len(right) and (label != label[0]).any():
             sides = []
             for docs in (left, right):
-                many = n[docs]
+                many = starts[docs + 1] - starts[docs]
                 owner = np.repeat(np.arange(len(docs)), many)
                 sides.append((owner, flat[np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[docs], many)]))
             common = common_counts(*sides, len(left), len(right))
-            good = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (label[left][:, None] != label[right][None, :])
+            good = ((100 + percent) * common >= w[left][:, None] + w[right][None, :] - slack) & (label[left][:, None] != label[right][None, :])
             i, j = np.nonzero(good)
             if len(i):
-                out = [(left[i[x]], right[j[x]]) for x in forest(label[left[i]], label[right[j]])]
-        a, b = (uid[[x[k] for x in out]] if out else np.empty(0, np.int64) for k in (0, 1))
+                out = [(left[i[k]], right[j[k]]) for k in forest(label[left[i]], label[right[j]])]
+        a, b = (label[[y[k] for y in out]] if out else np.empty(0, np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return rows.groupBy("closure", "key", "p", "q").applyInArrow(block, "a long, b long").distinct()
+    return rows.groupBy("c", "p", "q").applyInArrow(block, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, name: str = "near_dedup") -> DataFrame:
@@ -256,7 +254,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Words are lower-cased in A-Z. Documents are linked if 100 * common >= percent * all shingles of
     both; component_id is the smallest doc_id reachable. Null text, or text without words, is linked
     with nothing. Rows that repeat a doc_id, or have none, count as documents of their own, of which
-    the first in the order of ids (nulls first) and texts is kept.
+    the first in the order of ids (nulls first) and texts is kept. Very long texts are hashed in
+    blocks; an empty table gives no rows; columns other than doc_id and text are ignored.
     """
     scratch = Scratch(docs.sparkSession, name)
     rows, renamed = unique_ids(docs, scratch)
@@ -266,47 +265,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     several = scratch.write(classes.filter("m > 1"), "classes")  # written, so that a join with a hot class can be split
     member = scratch.write(ids.join(several, ["set1", "set2", "n"]).select("uid", "rep"), "members")
     single = made.join(member.filter("uid <> rep"), "uid", "left_anti").filter("n > 0")
-    banded = single.select(F.explode("bands").alias("key"), "uid", "n")
-    buckets = banded.groupBy("key").agg(F.min(F.struct("uid", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
-    shared = scratch.write(banded.join(buckets.select("key", "c"), "key"), "shared")
-    sets = scratch.write(full_sets(rows, shared.select("uid").distinct(), shingle), "sets")
-
-    pairs = shared.filter("uid <> c.uid").select(F.col("c.uid").alias("a"), F.col("uid").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
-    tried = scratch.write(pairs.filter(could_link(percent)).select("a", "b").distinct(), "tried")
-    links = scratch.write(confirmed(tried, sets, percent), "links")
-    labels = components(links, scratch)
-    quiet = turn = 0
-    while True:
-        turn += 1
-        placed = shared.select("key", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        if quiet >= QUIET:
-            groups = meeting_groups(placed, scratch)
-            scratch.drop(shared)
-            found = scratch.write(links_within(groups, sets, percent), "links")
-            scratch.drop(groups)
-            scratch.drop(sets)
-            if not found.isEmpty():
-                labels = components(links.unionByName(found), scratch)
-            break
-        parts = placed.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("uid", F.lit(turn), "key"), "uid", "n")).alias("drawn"))
-        largest = F.max(F.struct("m", "label", "drawn"))
-        mixed = parts.groupBy("key").agg(F.count("*").alias("labels"), largest.alias("c")).filter("labels > 1").select("key", F.struct("c.label", "c.drawn.uid", "c.drawn.n").alias("c"))
-        cross = placed.join(mixed, "key").filter("label <> c.label")
-        cross = cross.select(F.least("uid", "c.uid").alias("a"), F.greatest("uid", "c.uid").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb")).filter(could_link(percent))
-        fresh = scratch.write(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            quiet += 1
-            continue
-        found = scratch.write(confirmed(fresh, sets, percent), "links")
-        tried = tried.unionByName(fresh)
-        if found.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        links = links.unionByName(found)
-        labels = components(links, scratch)
+    banded = single.select(F.explode("bands").alias("key"), "uid")
+    buckets = banded.groupBy("key").agg(F.min("uid").alias("c"), F.count("*").alias("m")).filter("m > 1").select("key", "c")
+    star = scratch.write(banded.join(buckets, "key").filter("uid <> c").select("c", F.col("uid").alias("x")).distinct(), "star")
+    sets = scratch.write(full_sets(rows, star.select(F.explode(F.array("c", "x")).alias("uid")).distinct(), shingle), "sets")
+
+    tried = scratch.write(with_sets(star, sets, "nc", "nx", F.size(F.array_intersect("sc", "sx")).cast("long").alias("common")), "tried")
+    alike = tried.filter(100 * F.col("common") >= percent * (F.col("nc") + F.col("nx") - F.col("common")))
+    labels = components(alike.select(F.col("c").alias("a"), F.col("x").alias("b")), scratch)
+    leaves = open_leaves(tried, labels, percent, scratch)
+    found = scratch.write(links_within(leaves, sets, percent), "links")
+    scratch.drop(sets)
+    joined = components(found, scratch).select(F.col("node").alias("label"), F.col("label").alias("joined"))
     out = made.select("uid", "n").join(member, "uid", "left").withColumn("rep", F.coalesce("rep", "uid"))
-    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("uid", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component"))
+    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    out = out.join(joined, "label", "left").select("uid", F.col("n").alias("n_shingles"), F.coalesce("joined", "label").alias("component"))
     if not renamed:
         return out.select(F.col("uid").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("uid") == F.col("component")).alias("kept"), "uid")
     names = rows.select("uid", "doc_id")

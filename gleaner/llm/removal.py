@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -11,18 +12,26 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-#: An occurrence of a piece: key (pieces with different keys share no window), digest, document,
-#: first window, end of windows; flag: see the operator.
-OCCURRENCE = "kind int, key long, digest long, uid long, s int, e int, flag boolean"
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+#: An occurrence of a piece: key (pieces with different keys share no window), the two halves of the
+#: digest of its bytes, document, first window, end of windows; flag: see the operator.
+OCCURRENCE = "kind int, key long, digest long, more long, uid long, s int, e int, flag boolean"
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 #: kind: an occurrence that is still to be compared; windows [s, e) that go; a first holder.
 OPEN, GONE, HOLDER = 0, 1, 2
 
 
-def batch_of(kind, key, digest, uid, s, e, flag) -> pa.RecordBatch:
+def byte_digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit cryptographic digest of each data[start:end]: texts whose digests are equal are equal."""
+    view, digest = memoryview(data), hashlib.blake2b
+    found = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    halves = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
+
+
+def batch_of(kind, key, digest, more, uid, s, e, flag) -> pa.RecordBatch:
     n = len(uid)
     full = lambda x, t: np.full(n, x, t) if np.isscalar(x) else x
-    cols = [full(kind, np.int32), full(key, np.int64), full(digest, np.int64), uid, s, e, full(flag, bool)]
+    cols = [full(kind, np.int32), full(key, np.int64), full(digest, np.int64), full(more, np.int64), uid, s, e, full(flag, bool)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS)], [f.split()[0] for f in OCCURRENCE.split(", ")])
 
 
@@ -30,12 +39,12 @@ def arrays(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
     return [batch.column(i).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(i).to_numpy() for i in range(batch.num_columns)]
 
 
-def first_of_each(key, digest, uid, s):
+def first_of_each(key, digest, more, uid, s):
     """(order by key, digest, document, place; whether the row in that order is its piece's first)."""
-    order = np.lexsort((s, uid, digest, key))
-    k, d = key[order], digest[order]
+    order = np.lexsort((s, uid, more, digest, key))
+    k, d, m = key[order], digest[order], more[order]
     first = np.ones(len(order), bool)
-    first[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    first[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (m[1:] != m[:-1])
     return order, first
 
 

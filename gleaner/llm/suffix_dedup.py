@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, parts, unique_ids
-from .removal import GONE, HOLDER, OCCURRENCE, OPEN, batch_of, finish, first_of_each, gone_by_document, joined, spread
-from .rolling import Spans, blocks, merged, signed, sliding
+from .removal import GONE, HOLDER, OCCURRENCE, OPEN, batch_of, byte_digests, finish, first_of_each, gone_by_document, joined, spread
+from .rolling import blocks, grams, merged, signed, sliding
 from .suffix_sort import sort_suffixes
 
 WINDOW, GRAM = 100, 24
@@ -33,13 +33,12 @@ RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def pieces_of(data, starts, ends, window: int, gram: int):
-    """(key, digest, text, first window, end of windows, may repeat inside) of a block's pieces, in order."""
+    """(key, digest in two halves, text, first window, end of windows, may repeat inside) of a block's pieces, in order."""
     w = window - gram + 1
     n = len(data) - window + 1
     if n <= 0:
-        return [np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool)]
-    spans = Spans(data)
-    h = spans.grams(gram) | np.uint64(1)
+        return [np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64, bool)]
+    h = grams(data, gram) | np.uint64(1)
     m = sliding(h, w)[:n]
     valid = np.zeros(n + 1, np.int8)
     long_ = ends - starts >= window
@@ -69,7 +68,7 @@ def pieces_of(data, starts, ends, window: int, gram: int):
             flag[at[m[s[at]] == h[a]]] = True
     s, e, flag = s[use], e[use], flag[use]
     text = np.searchsorted(starts, s, "right") - 1
-    return m[s], Spans(data, 1).hash(s, e + window - 1), text, s, e, flag
+    return m[s], *byte_digests(data.tobytes(), s, e + window - 1), text, s, e, flag
 
 
 def occurrences(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -80,16 +79,16 @@ def occurrences(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
             uids = batch.column(0).to_numpy()
             found = []
             for data, rows, starts, ends, offsets in blocks(batch.column(1), window - 1):
-                key, digest, text, s, e, flag = pieces_of(data, starts, ends, window, gram)
+                key, digest, more, text, s, e, flag = pieces_of(data, starts, ends, window, gram)
                 shift = offsets[text] - starts[text]
-                found.append((signed(key), signed(digest), uids[rows[text]], (s + shift).astype(np.int32), (e + shift).astype(np.int32), flag))
+                found.append((signed(key), digest, more, uids[rows[text]], (s + shift).astype(np.int32), (e + shift).astype(np.int32), flag))
             if not found:
                 continue
-            key, digest, uid, s, e, flag = (np.concatenate(c) for c in zip(*found))
+            key, digest, more, uid, s, e, flag = (np.concatenate(c) for c in zip(*found))
             if not len(uid):
                 continue
-            order, first = first_of_each(key, digest, uid, s)
-            yield batch_of(OPEN, *(c[order[first]] for c in (key, digest, uid, s, e, flag)))
+            order, first = first_of_each(key, digest, more, uid, s)
+            yield batch_of(OPEN, *(c[order[first]] for c in (key, digest, more, uid, s, e, flag)))
             yield from gone_rows(uid[order[~first]], s[order[~first]], e[order[~first]])
 
     return map_arrow(docs.select("uid", "text"), run, OCCURRENCE)
@@ -102,7 +101,7 @@ def gone_rows(uid, s, e):
     order = np.lexsort((s, uid))
     uid, s, e = uid[order], s[order].astype(np.int64), e[order].astype(np.int64)
     heads = np.flatnonzero(np.concatenate([[True], (uid[1:] != uid[:-1]) | (s[1:] > e[:-1])]))
-    yield batch_of(GONE, 0, 0, uid[heads], s[heads].astype(np.int32), np.maximum.reduceat(e, heads).astype(np.int32), False)
+    yield batch_of(GONE, 0, 0, 0, uid[heads], s[heads].astype(np.int32), np.maximum.reduceat(e, heads).astype(np.int32), False)
 
 
 def settle_pieces(batches, hot_texts: int = HOT_TEXTS):
@@ -111,10 +110,10 @@ def settle_pieces(batches, hot_texts: int = HOT_TEXTS):
     held = list(batches)
     if not held:
         return
-    _, key, digest, uid, s, e, flag = joined(pa.Table.from_batches(held))
+    _, key, digest, more, uid, s, e, flag = joined(pa.Table.from_batches(held))
     if not len(uid):
         return
-    order, first = first_of_each(key, digest, uid, s)
+    order, first = first_of_each(key, digest, more, uid, s)
     yield from gone_rows(uid[order[~first]], s[order[~first]], e[order[~first]])
     order = order[first]
     k = key[order]
@@ -123,7 +122,7 @@ def settle_pieces(batches, hot_texts: int = HOT_TEXTS):
     on = (texts > 1) | flag[order]
     order, texts = order[on], texts[on]
     if len(order):
-        yield batch_of(HOLDER, key[order], digest[order], uid[order], s[order], e[order], texts > hot_texts)
+        yield batch_of(HOLDER, key[order], digest[order], more[order], uid[order], s[order], e[order], texts > hot_texts)
 
 
 def shard_rows(docs: DataFrame, holders: DataFrame, window: int) -> DataFrame:
@@ -200,7 +199,7 @@ def settle_shards(window: int, shard_bytes: int, shards: int):
         if hot.num_rows:
             digest = np.frombuffer(b"".join(hot["data"].to_pylist()), np.int64).reshape(-1, 2)
             uid, s = hot["uid"].to_numpy(), hot["s"].to_numpy()
-            order, first = first_of_each(digest[:, 0], digest[:, 1], uid, s)
+            order, first = first_of_each(digest[:, 0], digest[:, 1], digest[:, 1], uid, s)
             yield from gone_rows(uid[order[~first]], s[order[~first]], s[order[~first]] + 1)
         cold = table.filter(pa.compute.invert(table["hot"]))
         shard = cold["shard"].to_numpy()

@@ -19,7 +19,7 @@ import tempfile
 
 import numpy as np
 
-from .rolling import Spans, mix
+from .rolling import eights
 
 #: Bytes that the queues of one sort keep in memory.
 MEMORY = 64 << 20
@@ -141,6 +141,25 @@ def induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, memory: int =
     return np.concatenate(out)[::-1]
 
 
+def same_spans(text: np.ndarray, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether text[a:ends[a]] and text[b:ends[b]] are equal, pair by pair; bytes are compared eight at a time."""
+    size = ends[a] - a
+    same = size == ends[b] - b
+    step = 8 if text.dtype == np.uint8 else 1
+    words = eights(text) if step == 8 else text
+    left, low = np.flatnonzero(same), 0
+    while len(left):
+        x, y = words[a[left] + low], words[b[left] + low]
+        if step == 8:
+            spare = (np.uint64(64) - np.minimum(size[left] - low, 8).astype(np.uint64) * np.uint64(8))
+            x, y = x << spare, y << spare
+        equal = x == y
+        same[left[~equal]] = False
+        low += step
+        left = left[equal & (size[left] > low)]
+    return same
+
+
 def _names(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, memory: int) -> np.ndarray:
     """For each LMS place, in text order, the rank of its substring (up to the next LMS place)."""
     ordered = induce(text, s_type, lms, memory)
@@ -150,10 +169,9 @@ def _names(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, memory: int) -
     n = len(text)
     ends = np.empty(n + 1, np.int64)
     ends[lms] = np.append(lms[1:] + 1, n)  # the last substring reaches the end, which no other does
-    hashes = Spans(text if text.dtype == np.uint8 else mix(text.astype(np.uint64) + np.uint64(1)))
-    h = hashes.hash(ordered.astype(np.int64), ends[ordered])
     new = np.ones(len(ordered), np.int64)
-    new[1:] = (h[1:] != h[:-1]) | (ordered[1:] == lms[-1]) | (ordered[:-1] == lms[-1])
+    if len(ordered) > 1:
+        new[1:] = ~same_spans(text, ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64), ends) | (ordered[1:] == lms[-1]) | (ordered[:-1] == lms[-1])
     names = np.empty(n, np.int64)
     names[ordered] = np.cumsum(new) - 1
     return names[lms]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .rolling import BLOCK, Spans, blocks
+from .rolling import BLOCK, blocks, string_hashes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,7 +29,7 @@ def _of_block(data, starts, ends, lower):
     closes[last] |= inside[1:-1][last]
     a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     counts = np.searchsorted(a, ends) - np.searchsorted(a, starts)
-    return Spans(data).hash(a, b), counts
+    return string_hashes(data, a, b), counts
 
 
 def _cuts(text: bytes, size: int):

@@ -72,3 +72,15 @@ def test_long_texts_are_cut_between_words():
     whole = {int(r): h[b[k] : b[k + 1]].tolist() for rows, h, b in word_hashes(pa.array(texts)) for k, r in enumerate(rows)}
     small = {int(r): h[b[k] : b[k + 1]].tolist() for rows, h, b in word_hashes(pa.array(texts), size=16) for k, r in enumerate(rows)}
     assert whole == small and [len(whole[i]) for i in range(4)] == [2, 42, 0, 1]
+
+
+def test_words_that_collide_under_polynomials(spark):
+    for n in (10, 12):
+        a, b = "a", "b"
+        for _ in range(n):
+            a, b = a + b, b + a
+        other = [f"w{i}" for i in range(60)]
+        rows = [(1, " ".join(other[:30] + [a] + other[30:])), (2, " ".join(other[:30] + [b] + other[30:])), (3, " ".join(other[:30] + [a] + other[30:]))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in cover_dedup(df).collect()}
+        assert got == brute(rows) and got[2][1] == 0

@@ -117,3 +117,41 @@ def test_common_counts():
         flat = [(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.concatenate(s)) for s in sides]
         got = near_dedup.common_counts(*flat, docs, docs + 1)
         assert (got == [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]).all()
+
+
+def thue_morse(n):
+    """A word and its complement, of 2**n letters, which collide under polynomials modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide_under_polynomials(spark):
+    for n in (10, 12):
+        x, y = thue_morse(n)
+        rows = [(1, f"q {x}"), (2, f"q {y}"), (3, f"q {x}"), (4, x), (5, y)]
+        assert run(spark, rows, shingle=2) == brute(rows, 2)
+
+
+def test_thirty_components_in_one_bucket(spark, monkeypatch):
+    """Families around one template: near the pivot's bound, some families linked among themselves only."""
+    rnd = random.Random(9)
+    template = [f"t{i}" for i in range(150)]
+    rows = [" ".join(template)]
+    for family in range(30):
+        base = list(template)
+        for k in range(13 + family % 4):
+            base[rnd.randrange(150)] = f"f{family}k{k}"
+        for member in range(4):
+            w = list(base)
+            for _ in range(member):
+                w[rnd.randrange(150)] = f"m{family}.{member}.{rnd.randrange(10**6)}"
+            rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    want = brute(rows, 2)
+    assert len({c for _, c, _ in want.values()}) >= 20
+    assert run(spark, rows, shingle=2) == want
+    monkeypatch.setattr(near_dedup, "SIDE", 16)
+    monkeypatch.setattr(near_dedup, "LEAVES", 7)
+    assert run(spark, rows, shingle=2) == want

@@ -62,7 +62,7 @@ def test_long_texts_are_cut_into_blocks():
     texts = [long_ + "tail", "q", "q" + long_ * 2]
     covered = {i: set() for i in range(3)}
     for data, rows, starts, ends, offsets in blocks(pa.array(texts), 99, 700):
-        for _, _, t, a, b, _ in zip(*pieces_of(data, starts, ends, 100, 24)):
+        for _, _, _, t, a, b, _ in zip(*pieces_of(data, starts, ends, 100, 24)):
             covered[int(rows[t])] |= set(range(int(a + offsets[t] - starts[t]), int(b + offsets[t] - starts[t])))
     assert all(covered[i] == set(range(len(t) - 99)) for i, t in enumerate(texts))
 
@@ -80,3 +80,13 @@ def test_suffix_sorting_on_disk():
         text = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(0, 60))).astype(np.uint8)
         want = sorted(range(len(text)), key=lambda i: list(text[i:]))
         assert list(sort_suffixes(text, 61)) == want == list(sort_suffixes(text, 61, memory=8, in_memory=2))
+
+
+def test_strings_that_collide_under_polynomials(spark):
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    rows = [(1, a[:1024]), (2, b[:1024]), (3, a), (4, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df).collect()}
+    assert got == brute(rows)
