@@ -1,14 +1,17 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and its decoder.
 
-The encoder takes text in chunks and keeps only what may still change: the last pre-token, and
-inside a very long pre-token the bytes whose tokens are not yet settled. Short pre-tokens are
-merged at once and remembered in a bounded memory.
+The encoder takes text in chunks and keeps only what may still change: the last pre-token, and of
+that at most twice the sufficient lookahead of the merge list (320 bytes for byte_bpe_50k.json), which
+``sufficient_lookahead`` works out from the rules. A token is emitted once that many bytes follow it;
+what is left when a pre-token ends is emitted then. Results of pre-tokens are remembered in a bounded
+memory.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
 import struct
 from collections.abc import Iterator
@@ -21,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-#: A pre-token of more characters goes through the transducer.
-LONG = 256
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 400_000
+#: Pre-tokens that a worker remembers, and the characters of the longest of them.
+REMEMBERED, LONG = 400_000, 256
+#: From this many symbols on a heap finds the next merge.
+HEAP = 64
 #: Characters fed to the encoder at a time.
 CHUNK = 1 << 16
 #: Up to here the letter and number classes of the regex and of the tokenizer's library agree.
@@ -51,28 +54,19 @@ class Vocabulary:
         self.bytes_of = {i: raw(t) for t, i in ids.items() if t not in self.special} | {i: t.encode() for t, i in self.special.items()}
         self.id_of = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
         self.merges = {}
-        depth = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            new = ids[a + b]
-            self.merges[ids[a], ids[b]] = (rank, new)
-            depth[new] = 1 + max(depth.get(ids[a], 0), depth.get(ids[b], 0))
+            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
         self.single = [self.id_of[bytes([b])] for b in range(256)]
         self.longest = max(map(len, self.id_of))
-        #: Bytes after which a token boundary is settled: a change travels at most one token for
-        #: each level of the deepest merge.
-        self.lookahead = self.longest * (1 + max(depth.values(), default=0))
-        self._endings: dict = {}
-        for token, i in self.id_of.items():
-            node = self._endings
-            for b in reversed(token):
-                node = node.setdefault(b, {})
-            node[-1] = i
-        self._fits: dict = {}
+        #: Bytes after which a token cannot change any more.
+        self.lookahead = max(self.longest, sufficient_lookahead(self.merges, {i: len(t) for i, t in self.bytes_of.items()}))
 
     def merge(self, data: bytes) -> list[int]:
-        """Tokens of one short pre-token: the best-ranked pair is merged until none is left."""
+        """Tokens of some bytes: the best-ranked pair, of equal ones the first, is merged until none is left."""
         ids = [self.single[b] for b in data]
+        if len(ids) >= HEAP:
+            return self._merge_by_heap(ids)
         none = (1 << 60, -1)
         merges = self.merges
         pairs = [merges.get(p, none) for p in zip(ids, ids[1:])]
@@ -89,80 +83,91 @@ class Vocabulary:
                 pairs[i - 1] = merges.get((ids[i - 1], ids[i]), none)
         return ids
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether b may follow a: their bytes together are encoded as just these two."""
-        key = (a, b)
-        if key not in self._fits:
-            if len(self._fits) > REMEMBERED:
-                self._fits.clear()
-            self._fits[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return self._fits[key]
+    def _merge_by_heap(self, ids: list[int]) -> list[int]:
+        merges, n = self.merges, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*merges[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        heapq.heapify(heap)
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and (found := merges.get((ids[i], ids[j]))):
+                heapq.heappush(heap, (*found, i, ids[i], ids[j]))
+
+        while heap:
+            _, new, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of the two was merged with another
+            ids[i], ids[j] = new, -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        return [t for t in ids if t >= 0]
+
+
+def sufficient_lookahead(merges: dict[tuple[int, int], tuple[int, int]], size: dict[int, int]) -> int:
+    """How many bytes must follow a token so that no later byte can change it.
+
+    Compare the encodings of a text and of the same text with more after it, rule by rule in the order
+    of ranks, from the left end. Up to some place both have the same tokens. That place moves to the
+    left only when a rule (a, b) merges the last common token a with what follows in one of the two,
+    so by the length of a; after that one of them has the merged token there and the other one a, or
+    tokens that grew from these to the right (that have them on their left edge), and the next such
+    rule has a higher rank. So the way to the left is at most the largest sum over a chain of rules
+    of rising rank in which each b has the rule before's a, or its merged token, on its left edge. The
+    rules must be ordered: no rule may come before one that makes its parts.
+    """
+    born: dict[int, int] = {}
+    lefts: dict[int, set[int]] = {}
+    rules = sorted((rank, a, b, new) for (a, b), (rank, new) in merges.items())
+    for rank, a, _, new in rules:
+        born[new] = rank  # the last rule that makes it
+        lefts.setdefault(new, set()).add(a)
+    if any(born.get(part, -1) > rank for rank, a, b, _ in rules for part in (a, b)):
+        raise ValueError("a rule comes before one that makes its parts")
+    far: dict[int, int] = {}  # by token: the longest way left of rules done so far whose b has it on its left edge
+    for _, a, b, new in reversed(rules):
+        way = size[a] + max(far.get(a, 0), far.get(new, 0))
+        edge = [b]
+        while edge:
+            token = edge.pop()
+            if far.get(token, 0) < way:
+                far[token] = way
+                edge += lefts.get(token, ())
+    return max(far.values(), default=0)
 
 
 class Transducer:
-    """Tokens of one pre-token of any length, from bytes in pieces.
-
-    For every prefix it keeps the last token of that prefix's encoding: the one ending there that
-    fits the last token of the prefix before it. A token is emitted once the encodings of all
-    prefixes that can still matter (the longest token's length) run through its end.
-    """
+    """Tokens of one pre-token of any length, from bytes in pieces. It holds fewer than twice the
+    lookahead in bytes: at that size the tokens that have the lookahead behind them are emitted, and
+    since no merge crosses the end of a token, the rest is encoded on its own from there."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.data = bytearray()
-        self.last: list[int] = [-1]  # of the prefix of each length, since the last emission
-        self.prior = -1  # the last emitted token
+        self.data = b""
 
     def feed(self, data: bytes) -> list[int]:
-        v, text, last = self.v, self.data, self.last
         out: list[int] = []
-        for byte in data:
-            text.append(byte)
-            n = len(text)
-            node, found = v._endings, -1
-            for k in range(1, min(n, v.longest) + 1):
-                node = node.get(text[n - k])
-                if node is None:
+        room, sizes, at = 2 * self.v.lookahead, self.v.bytes_of, 0
+        while len(self.data) + len(data) - at >= room:
+            took = room - len(self.data)
+            self.data += data[at : at + took]
+            at += took
+            end = 0
+            for token in self.v.merge(self.data):
+                if end + len(sizes[token]) > self.v.lookahead:
                     break
-                token = node.get(-1)
-                if token is not None:
-                    before = last[n - k] if n > k else self.prior
-                    if before < 0 or v.fits(before, token):
-                        found = token  # the longest that fits; there is one only
-            last.append(found)
-            if n >= 4 * v.longest and n % v.longest == 0:
-                out += self._settled(n - v.longest)
-                text, last = self.data, self.last
-        return out
-
-    def _back(self, end: int) -> int:
-        return end - len(self.v.bytes_of[self.last[end]])
-
-    def _settled(self, low: int) -> list[int]:
-        """Emits up to the last boundary shared by all prefixes longer than low."""
-        ends = set(range(low, len(self.data) + 1))
-        while len(ends) > 1:
-            far = max(ends)
-            ends.discard(far)
-            ends.add(self._back(far))
-        (end,) = ends
-        if end <= 0:
-            return []
-        out = self._tokens(end)
-        self.prior = out[-1]
-        self.data = self.data[end:]
-        self.last = [-1, *self.last[end + 1 :]]
+                end += len(sizes[token])
+                out.append(token)
+            self.data = self.data[end:]
+        self.data += data[at:]
         return out
 
-    def _tokens(self, end: int) -> list[int]:
-        out = []
-        while end > 0:
-            out.append(self.last[end])
-            end = self._back(end)
-        return out[::-1]
-
     def close(self) -> list[int]:
-        return self._tokens(len(self.data))
+        rest, self.data = self.data, b""
+        return self.v.merge(rest)
 
 
 class Encoder:
@@ -203,13 +208,10 @@ class Encoder:
     def piece(self, p: str) -> bytes:
         got = self.known.get(p)
         if got is None:
+            t = Transducer(self.v)
+            got = _packed(t.feed(p.encode()) + t.close())
             if len(p) > LONG:
-                t = Transducer(self.v)
-                ids = t.feed(p.encode())
-                ids += t.close()
-                return struct.pack(f"<{len(ids)}I", *ids)
-            ids = self.v.merge(p.encode())
-            got = struct.pack(f"<{len(ids)}I", *ids)
+                return got
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[p] = got
@@ -285,7 +287,12 @@ def ids_of(packed: bytes):
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; a null text counts as empty."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row, no shuffle.
+
+    A null text counts as empty (no tokens). Null and repeated ids are passed through, row by row. Very
+    long texts are encoded and decoded in chunks; an empty table gives no rows; columns other than the
+    id and the text are ignored, whatever their names.
+    """
 
     def run(batches):
         enc = Encoder(path)

@@ -1,27 +1,35 @@
 """Token counts from distinct pre-tokens: no id list is made.
 
-In each task the distinct pre-tokens of the texts are counted in pieces once and remembered (the
-memory is bounded); a document's count is the sum over its own pre-token frequencies. The join of
-frequencies and piece counts happens where the text is read, so nothing is shuffled: a shuffle of
-(document, pre-token) rows would move more bytes than the texts have.
+Texts are split into pre-tokens where they are read. A task's documents form blocks; a block has a
+vocabulary, its distinct pre-tokens, and each document its frequencies by place in that vocabulary.
+Vocabularies (not documents) are shuffled by pre-token: the pieces of each distinct pre-token of
+the corpus are counted once and joined back to the vocabularies, and those, as piece counts by place,
+to the documents' frequencies. So a pre-token crosses the network once for each block it is in, and a
+very frequent one has as many rows as there are blocks, whose join can be split.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
-from .bpe import REMEMBERED, Encoder
+from .bpe import Encoder
+from .common import Scratch, map_arrow
 
 #: Documents of more tokens are over the limit.
 LIMIT = 1024
+#: A block ends with the batch in which its vocabulary or its frequencies reach these numbers.
+BLOCK_WORDS, BLOCK_PAIRS = 1 << 18, 1 << 22
+_SPLIT = "block long, doc_id long, n_bytes long, specials long, at binary, times binary, words array<string>"
+_COUNTED = "doc_id long, n_bytes long, n_tokens long"
 
 
 class Pieces:
@@ -37,7 +45,6 @@ class Pieces:
         self.special = v.special
         self.library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.id_of, special_tokens=v.special)
         self.one = self.library._core_bpe.encode_single_piece
-        self.known: dict[str, int] = {}
 
     def split(self, text: str) -> tuple[list[str], int]:
         """(pre-tokens, number of special tokens)."""
@@ -47,35 +54,85 @@ class Pieces:
         parts = regex.split("|".join(map(regex.escape, found)), text)
         return [p for part in parts for p in self.enc.pieces(part)], len(parts) - 1
 
-    def count(self, text: str) -> int:
-        pieces, total = self.split(text)
-        known = self.known
-        for p, n in Counter(pieces).items():
-            size = known.get(p)
-            if size is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                size = len(self.one(p.encode()))
-                if len(p) <= 64:
-                    known[p] = size
-            total += n * size
-        return total
-
-
-def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of docs; a null text counts as empty, ids
-    (null or repeated too) are passed through, other columns are ignored."""
+
+def frequencies(counts: Counter, places: dict[str, int]) -> tuple[bytes, bytes]:
+    """A document's (places, times) in its block's vocabulary, which grows by new pre-tokens. Places are
+    sorted and stand as differences; a pre-token of more than 255 times has several entries."""
+    at = np.fromiter((places.setdefault(p, len(places)) for p in counts), np.int64, len(counts))
+    times = np.fromiter(counts.values(), np.int64, len(counts))
+    order = np.argsort(at)
+    at, times = at[order], times[order]
+    entries = -(-times // 255)
+    last = np.cumsum(entries) - 1
+    each = np.full(int(entries.sum()), 255, np.int64)
+    each[last] = times - (entries - 1) * 255
+    return np.diff(np.repeat(at, entries), prepend=0).astype("<u4").tobytes(), each.astype(np.uint8).tobytes()
+
+
+def split_documents(docs: DataFrame, path: str) -> DataFrame:
+    """A row for each document, and one for each block with its vocabulary (words)."""
 
     def run(batches):
-        counter = Pieces(path)
+        pieces = Pieces(path)
+        block, pairs, places = TaskContext.get().partitionId() << 32, 0, {}
+
+        def vocabulary():
+            return pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([None], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())], pa.array([list(places)], pa.list_(pa.string()))], [f.split()[0] for f in _SPLIT.split(", ")])
+
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = pa.array([counter.count(t) for t in texts], pa.int64())
-            size = pa.array([len(t.encode()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), size, n], ["doc_id", "n_bytes", "n_tokens"])
+            if len(places) >= BLOCK_WORDS or pairs >= BLOCK_PAIRS:
+                yield vocabulary()
+                block, pairs, places = block + 1, 0, {}
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found, specials = pieces.split(text or "")
+                counts = Counter(found)
+                pairs += len(counts)
+                rows.append((block, doc, len((text or "").encode()), specials, *frequencies(counts, places), None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], [f.split()[0] for f in _SPLIT.split(", ")])
+        yield vocabulary()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_arrow(docs, run, _SPLIT)
+
+
+def piece_counts(words: DataFrame, path: str) -> DataFrame:
+    """word, pieces of distinct pre-tokens."""
+
+    def run(batches):
+        one = Pieces(path).one
+        for batch in batches:
+            counts = [len(one(w.encode())) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], ["word", "pieces"])
+
+    return map_arrow(words, run, "word string, pieces int")
+
+
+def block_sums(documents: pa.Table, vocabulary: pa.Table) -> pa.Table:
+    """A block's documents with the sums of their frequencies times the pieces of its vocabulary."""
+    pieces = np.zeros(vocabulary.num_rows, np.int64)
+    pieces[vocabulary["place"].to_numpy()] = vocabulary["pieces"].to_numpy()
+    totals = documents["specials"].to_numpy().copy()
+    for i, (at, times) in enumerate(zip(documents["at"], documents["times"])):
+        totals[i] += pieces[np.cumsum(np.frombuffer(at.as_py(), "<u4"), dtype=np.int64)] @ np.frombuffer(times.as_py(), np.uint8).astype(np.int64)
+    return pa.table({"doc_id": documents["doc_id"], "n_bytes": documents["n_bytes"], "n_tokens": totals})
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", name: str = "token_counts") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
+
+    A null text counts as empty. Null and repeated ids are passed through, row by row. A very long text,
+    or pre-token, is handled whole; an empty table gives no rows; columns other than the id and the
+    text are ignored, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, name)
+    split = scratch.write(split_documents(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path), "split")
+    words = split.filter("words is not null").select(F.col("block").alias("owner"), F.posexplode("words").alias("place", "word"))
+    counts = piece_counts(words.select("word").distinct(), path)
+    vocabulary = words.join(counts.hint("merge"), "word").select("owner", "place", "pieces")
+    documents = split.filter("words is null").select("block", "doc_id", "n_bytes", "specials", "at", "times")
+    counted = documents.groupBy("block").cogroup(vocabulary.groupBy("owner")).applyInArrow(block_sums, _COUNTED)
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

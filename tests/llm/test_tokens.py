@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from gleaner.llm.bpe import round_trip
 from gleaner.llm.common import Scratch
 from gleaner.llm.packing import cut, pack, sum_of_squares, token_pieces
+from gleaner.llm import token_counts
 from gleaner.llm.token_counts import count_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,3 +75,22 @@ def test_sum_of_squares_reaches_the_bound():
     fill = np.bincount(bins, weights=lengths)
     assert fill.max() <= 2048 and len(fill) <= 1.03 * -(-lengths.sum() // 2048)
     assert cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)] and cut(2048, 2048) == [(0, 2048)]
+
+
+def test_repeated_and_missing_ids(spark):
+    df = spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "a b"), (7, None), (7, "it's " * 400)], "doc_id long, text string")
+    want = sorted((i or -1, len(expected(t))) for i, t in ((None, "a b"), (7, "a b"), (7, "a b"), (7, None), (7, "it's " * 400)))
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in count_tokens(df, PATH).collect()) == want
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in round_trip(df, PATH).collect()) == want
+    packed = pack(token_pieces(df, PATH), Scratch(spark, "t")).collect()
+    assert sorted((r.doc_id or -1, r.length - 1) for r in packed) == want
+
+
+def test_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK_WORDS", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for r in count_tokens(table(spark), PATH).collect():
+            assert r.n_tokens == len(expected(TEXTS[r.doc_id]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
