@@ -121,7 +121,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 ends = np.searchsorted(owner, np.arange(len(rows) + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(uids[rows]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(h)))], ["uid", "n", "shingles"])
 
-    return map_arrow(docs.select("uid", "text").join(wanted, "uid", "left_semi"), run, "uid long, n long, shingles array<long>")
+    return map_arrow(docs.select("uid", "text").join(wanted.hint("merge"), "uid", "left_semi"), run, "uid long, n long, shingles array<long>")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame, *made) -> DataFrame:
@@ -144,7 +144,7 @@ def open_leaves(tried: DataFrame, labels: DataFrame, percent: int, scratch: Scra
     for _ in range(2):  # leaves that go out can leave a pivot's others with one component
         group = leaves.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("w").alias("least")).filter("low <> high").select("c", "least")
         leaves = leaves.join(group, "c").filter((100 + percent) * F.col("d") >= F.col("w") + F.col("least") - F.col("slack")).drop("least")
-    return scratch.write(leaves, "open")
+    return leaves
 
 
 def common_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n_left: int, n_right: int) -> np.ndarray:
@@ -205,8 +205,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def links_within(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all leaves of a pivot that are alike and differ in label. leaves: c, x, label, w, slack, d.
+def dealt(leaves: DataFrame) -> DataFrame:
+    """leaves (c, x, label, w, d, slack) with their part and the number of parts that each one meets.
 
     A pivot's leaves are dealt to parts: those of its largest component (kb parts) and the others (ks
     parts). Each part of the others meets every part, so no two parts of the largest component meet."""
@@ -215,12 +215,15 @@ def links_within(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     size = labels.groupBy("c").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "label", "n")).alias("big"))
     size = size.select("c", F.col("big.label").alias("big"), side("m", "n").alias("k"), side("big.m", "big.n").alias("kb"), (F.col("m") - F.col("big.m")).alias("ms"), (F.col("n") - F.col("big.n")).alias("ns"))
     size = size.select("c", "big", F.when(F.col("k") == 1, 1).otherwise(side("ms", "ns")).alias("ks"), F.when(F.col("k") == 1, 0).otherwise(F.col("kb")).alias("kb"))
-    difference = F.concat(F.array_except("sx", "sc"), F.array_except("sc", "sx"))
-    rows = with_sets(leaves.select("c", "x", "label", "w", "slack"), sets, difference.alias("d")).join(size, "c")
     drawn = lambda k: F.pmod(F.xxhash64("x"), F.col(k))
-    rows = rows.withColumn("part", F.when((F.col("label") == F.col("big")) & (F.col("kb") > 0), F.col("ks") + drawn("kb")).otherwise(drawn("ks")))
-    others = F.when(F.col("part") < F.col("ks"), F.col("ks") + F.col("kb")).otherwise(F.col("ks"))
-    rows = rows.select("c", "x", "label", "w", "slack", "d", "part", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("far"))
+    rows = leaves.join(size, "c").withColumn("part", F.when((F.col("label") == F.col("big")) & (F.col("kb") > 0), F.col("ks") + drawn("kb")).otherwise(drawn("ks")))
+    return rows.select("c", "x", "label", "w", "slack", "part", F.when(F.col("part") < F.col("ks"), F.col("ks") + F.col("kb")).otherwise(F.col("ks")).alias("meets"))
+
+
+def links_within(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of components that join all leaves of a pivot that are alike and differ in label. leaves: as dealt."""
+    difference = F.concat(F.array_except("sx", "sc"), F.array_except("sc", "sx"))
+    rows = with_sets(leaves, sets, difference.alias("d")).withColumn("far", F.explode(F.sequence(F.lit(0).cast("long"), F.col("meets") - 1)))
     rows = rows.select("c", F.least("part", "far").alias("p"), F.greatest("part", "far").alias("q"), "x", "label", "w", "slack", "d", "part")
 
     def block(rows: pa.Table) -> pa.Table:
@@ -273,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     tried = scratch.write(with_sets(star, sets, "nc", "nx", F.size(F.array_intersect("sc", "sx")).cast("long").alias("common")), "tried")
     alike = tried.filter(100 * F.col("common") >= percent * (F.col("nc") + F.col("nx") - F.col("common")))
     labels = components(alike.select(F.col("c").alias("a"), F.col("x").alias("b")), scratch)
-    leaves = open_leaves(tried, labels, percent, scratch)
+    leaves = scratch.write(dealt(scratch.write(open_leaves(tried, labels, percent, scratch), "open")), "dealt")
     found = scratch.write(links_within(leaves, sets, percent), "links")
     scratch.drop(sets)
     joined = components(found, scratch).select(F.col("node").alias("label"), F.col("label").alias("joined"))
