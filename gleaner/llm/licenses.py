@@ -1,10 +1,10 @@
 """Licence scan: ordered signature rules over a text's words, DataFrame functions only.
 
-A rule is (label, keyword, tier, regex) over the text's lower-case words joined by single spaces.
-One alternation over all keywords, with or without a version, is the prefilter: a text without a
-keyword runs no rule, and a text with some runs only the rules of those keywords. Every detection is a word interval; an
-interval contained in another is suppressed (of equal intervals the better tier stays), and of two
-that overlap in part the later one stays only if its tier is better.
+A rule is (label, gate, tier, regex) over the text's lower-case words joined by single spaces. The gate
+is a word that stands in every match, so a rule whose gate is not among the text's words is not run,
+and a text with none of them runs no rule. Every detection is a word interval. Of two that overlap the
+one of the better tier stays, of one tier the longer one (so a contained one goes), then the earlier.
+Detections are taken in the order of their starts: each meets the one kept last, the worse one goes.
 """
 
 from __future__ import annotations
@@ -12,114 +12,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_rules import rules
+
 #: The base phrases and their labels (fixed by the contract of op2).
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-
-#: label, keyword, how the licence is named in words.
-FAMILIES = [
-    ("0bsd", "0bsd", r"0bsd"),
-    ("afl", "academic", r"academic free"),
-    ("agpl", "affero", r"(?:gnu )?affero general public"),
-    ("apache", "apache", r"apache(?: software)?"),
-    ("apsl", "apple", r"apple public source"),
-    ("artistic", "artistic", r"artistic"),
-    ("beerware", "beerware", r"beerware"),
-    ("bsd", "bsd", r"(?:[234] clause )?bsd(?: [234] clause)?"),
-    ("bsl", "boost", r"boost software"),
-    ("busl", "business", r"business source"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "commons", r"creative commons attribution"),
-    ("cddl", "cddl", r"cddl"),
-    ("cddl", "distribution", r"common development and distribution"),
-    ("cecill", "cecill", r"cecill(?: [abc])?"),
-    ("cpl", "common", r"common public"),
-    ("ecl", "educational", r"educational community"),
-    ("elastic", "elastic", r"elastic"),
-    ("epl", "eclipse", r"eclipse public"),
-    ("eupl", "eupl", r"eupl"),
-    ("eupl", "european", r"european union public"),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation"),
-    ("gpl", "gpl", r"(?:gnu )?gpl(?:v?[123])?"),
-    ("gpl", "general", r"(?:gnu )?general public"),
-    ("hpnd", "hpnd", r"hpnd"),
-    ("isc", "isc", r"isc"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?:v?[123])?"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public"),
-    ("lgpl", "library", r"(?:gnu )?library general public"),
-    ("mit", "mit", r"mit(?: x11)?"),
-    ("mpl", "mozilla", r"mozilla public"),
-    ("ms-pl", "microsoft", r"microsoft public"),
-    ("ms-rl", "reciprocal", r"microsoft reciprocal"),
-    ("ncsa", "illinois", r"university of illinois(?: ncsa)?(?: open source)?"),
-    ("odbl", "database", r"open database"),
-    ("ofl", "font", r"(?:sil )?open font"),
-    ("osl", "open", r"open software"),
-    ("php", "php", r"php"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("psf", "python", r"python(?: software foundation)?"),
-    ("qpl", "qpl", r"qpl"),
-    ("qpl", "q", r"q public"),
-    ("ruby", "ruby", r"ruby"),
-    ("sspl", "server", r"server side public"),
-    ("unlicense", "unlicense", r"unlicense"),
-    ("upl", "universal", r"universal permissive"),
-    ("vim", "vim", r"vim"),
-    ("w3c", "w3c", r"w3c(?: software)?(?: notice)?"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("zpl", "zope", r"zope public"),
-]
-#: tier (1 is best), how a name stands in a notice.
-NOTICES = [
-    (1, r"spdx license identifier (?:{name})(?: license)?(?: [0-9]+)*(?: (?:only|or later))?"),
-    (2, r"(?:licensed|released|distributed|available|published|provided|issued) (?:[a-z]+ ){{0,3}}(?:under|with) (?:the )?(?:terms of the )?(?:{name})(?: licen[sc]e)?(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)*)?"),
-    (3, r"(?:subject to|governed by|terms of|terms and conditions of|covered by|conditions of) (?:the )?(?:{name})(?: licen[sc]e)?(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)*)?"),
-    (4, r"licen[sc]e (?:the )?(?:{name})(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)*)?"),
-    (5, r"(?:{name}) licen[sc]e(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)*)?"),
-    (5, r"(?:{name}) licensed"),
-]
-#: Sentences that only one licence has: label, keyword, tier, regex.
-SENTENCES = [
-    ("mit", "hereby", 1, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "noninfringement", 2, r"merchantability fitness for a particular purpose and noninfringement"),
-    ("bsd", "redistribution", 1, r"redistribution and use in source and binary forms with or without modification"),
-    ("bsd", "endorse", 2, r"may be used to endorse or promote products derived from this software"),
-    ("isc", "fee", 1, r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("gpl", "redistribute", 1, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", 1, r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", "redistribute", 1, r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("apache", "compliance", 2, r"you may not use this file except in compliance with the license"),
-    ("mpl", "mozilla", 1, r"this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", "unencumbered", 1, r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", "domain", 3, r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("public-domain", "domain", 4, r"public domain"),
-    ("wtfpl", "fuck", 1, r"do what the fuck you want to public license"),
-    ("zlib", "misrepresented", 1, r"the origin of this software must not be misrepresented"),
-    ("bsl", "boost", 1, r"boost software license version 1 0"),
-    ("cc-by-sa", "sharealike", 1, r"(?:creative commons )?attribution sharealike(?: [0-9] [0-9])?(?: international| unported)?"),
-    ("cc-by-nc", "noncommercial", 1, r"(?:creative commons )?attribution noncommercial(?: [0-9] [0-9])?(?: international| unported)?"),
-    ("cc-by-nd", "noderivatives", 1, r"(?:creative commons )?attribution noderivatives(?: [0-9] [0-9])?(?: international| unported)?"),
-    ("cc-by", "cc", 2, r"cc by(?: [0-9] [0-9])?"),
-    ("cc-by-sa", "cc", 1, r"cc by sa(?: [0-9] [0-9])?"),
-    ("cc-by-nc", "cc", 1, r"cc by nc(?: [0-9] [0-9])?"),
-    ("proprietary", "reserved", 4, r"all rights reserved"),
-    ("proprietary", "proprietary", 3, r"proprietary and confidential"),
-]
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What may follow a keyword in the same word, as in gplv3 and lgpl2.
-VERSION = r"(?:v?[123])?"
 MARK = "\x01"
+#: The two letters outside of ASCII whose lower case holds an ASCII letter (fixed by Unicode).
+KELVIN, DOTTED = "\u212a", "\u0130"
 
 
-def rules() -> list[tuple[str, str, int, str]]:
-    """(label, keyword, tier, regex) of every rule, best tiers first."""
-    made = [(label, word, tier, notice.format(name=name)) for label, word, name in FAMILIES for tier, notice in NOTICES]
-    return sorted([*SENTENCES, *made], key=lambda r: r[2])
+def lowered(text: Column) -> Column:
+    """Lower case, which for ASCII letters is that of A-Z alone; null: empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.lower(F.when(F.contains(text, F.lit(KELVIN)) | F.contains(text, F.lit(DOTTED)), F.translate(text, KELVIN + DOTTED, "\u0138\u0131")).otherwise(text))
 
 
 def words_of(text: Column) -> Column:
     """A space, the text's words each followed by a space; a lone space if there are none."""
-    return F.concat(F.lit(" "), F.ltrim(F.concat(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP, " ")), F.lit(" "))))
+    return F.concat(F.lit(" "), F.ltrim(F.concat(F.trim(F.regexp_replace(lowered(text), WORD_GAP, " ")), F.lit(" "))))
 
 
 def _spaces(c: Column) -> Column:
@@ -135,37 +46,44 @@ def _detections(words: Column, rule: Column) -> Column:
 
 
 def _resolve(found: Column) -> Column:
-    """One sweep over the sorted intervals: (labels, best tier, kept)."""
-    zero = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(99).alias("tier"), F.array().cast("array<string>").alias("labels"), F.lit(99).alias("best"), F.lit(0).cast("long").alias("kept"))
+    """One sweep over the detections by start: (labels, best tier, number kept)."""
+    none = F.struct(F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("size"), F.lit(99).alias("tier"), F.lit("").alias("label"))
+    zero = F.struct(none.alias("last"), F.array().cast("array<string>").alias("labels"), F.lit(99).alias("best"), F.lit(0).cast("long").alias("kept"))
+
+    def settled(acc: Column) -> list[Column]:
+        """What is known once the detection kept last cannot be replaced any more."""
+        some = acc["last"]["end"].isNotNull()
+        return [
+            F.when(some & ~F.array_contains(acc["labels"], acc["last"]["label"]), F.array_append(acc["labels"], acc["last"]["label"])).otherwise(acc["labels"]).alias("labels"),
+            F.least(acc["best"], acc["last"]["tier"]).alias("best"),
+            (acc["kept"] + some.cast("long")).alias("kept"),
+        ]
 
     def step(acc, d):
-        end = -d["neg_end"]
-        stays = (end > acc["end"]) & ((d["start"] >= acc["end"]) | (d["tier"] < acc["tier"]))
-        longer = end > acc["end"]
-        return F.struct(
-            F.greatest(acc["end"], F.when(stays, end).otherwise(acc["end"])).alias("end"),
-            F.when(stays & longer, d["tier"]).otherwise(acc["tier"]).alias("tier"),
-            F.when(stays & ~F.array_contains(acc["labels"], d["label"]), F.array_append(acc["labels"], d["label"])).otherwise(acc["labels"]).alias("labels"),
-            F.when(stays, F.least(acc["best"], d["tier"])).otherwise(acc["best"]).alias("best"),
-            F.when(stays, acc["kept"] + 1).otherwise(acc["kept"]).alias("kept"),
-        )
+        last, end = acc["last"], -d["neg_end"]
+        mine = F.struct(end.alias("end"), (end - d["start"]).alias("size"), d["tier"].alias("tier"), d["label"].alias("label"))
+        better = (d["tier"] < last["tier"]) | ((d["tier"] == last["tier"]) & (mine["size"] > last["size"]))
+        apart = last["end"].isNull() | (d["start"] >= last["end"])
+        instead = F.struct(mine.alias("last"), acc["labels"].alias("labels"), acc["best"].alias("best"), acc["kept"].alias("kept"))
+        return F.when(apart, F.struct(mine.alias("last"), *settled(acc))).when(better, instead).otherwise(acc)
 
-    return F.aggregate(F.array_sort(found), zero, step)
+    return F.aggregate(F.array_sort(found), zero, step, lambda acc: F.struct(*settled(acc)))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs, no shuffle. Null or empty text: no words, no labels, score 0.
 
     score: 1.0 for a survivor of tier 1 down to 0.6 for tier 5; 0.6 for base phrases alone.
-    Ids, also null or repeated ones, are passed through; other columns are ignored.
+    Ids, also null or repeated ones, are passed through row by row; other columns are ignored, whatever
+    their names; very long texts are scanned whole; an empty table gives no rows.
     """
     table = rules()
     words = F.col("words")
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     either = "|".join(p for p, _ in BASE)
-    keywords = sorted({k for _, k, _, _ in table})
+    gates = F.array(*[F.lit(k) for k in sorted({k for _, k, _, _ in table})])
     rows = rows.withColumn("n_words", _spaces(words) - 1)
-    rows = rows.withColumn("hits", F.array_distinct(F.regexp_extract_all(words, F.lit(f" ({'|'.join(keywords)}){VERSION}(?= )"), F.lit(1))))
+    rows = rows.withColumn("hits", F.array_intersect(F.split(words, " "), gates))
     rows = rows.withColumn("base", F.when(F.contains(words, F.lit(" license ")), F.struct(
         *[F.regexp_count(words, F.lit(f" {p}(?= )")).cast("long").alias(label) for p, label in BASE],
         F.regexp_extract(words, f"(?s)^(.*? )(?:{either}) ", 1).alias("before_first"),
