@@ -39,7 +39,7 @@ def _tidy() -> None:
         pass
 
 
-def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_arrow(rows: DataFrame, run: Callable, schema) -> DataFrame:
     """rows.mapInArrow(run, schema), tidying up after each task."""
 
     def tidied(batches):
@@ -91,6 +91,14 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def write_bucketed(self, df: DataFrame, column: str, name: str = "t") -> DataFrame:
+        """As ``write``, dealt to buckets by a column, so that joins and groups by it need no shuffle of these rows."""
+        self.n += 1
+        table = f"{name}_{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}-{self.n}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(parts(self.spark), column).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, df: DataFrame) -> None:
         _delete(self.spark, df._scratch_path)
 

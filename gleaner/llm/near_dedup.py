@@ -129,9 +129,9 @@ def with_sets(pairs: DataFrame, sets: DataFrame, *made) -> DataFrame:
     leaves is met by several copies of its set."""
     degree = pairs.groupBy("c").agg(F.ceil(F.count("*") / LEAVES).alias("copies"))
     dealt = pairs.join(degree, "c").select(*pairs.columns, F.pmod(F.xxhash64("x"), "copies").alias("salt"))
-    leaves = dealt.join(sets.select(F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("shingles").alias("sx")), "x")
-    pivots = sets.join(degree, sets.uid == degree.c).select("c", F.col("n").alias("nc"), F.col("shingles").alias("sc"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
-    return leaves.join(pivots, ["c", "salt"]).select(*pairs.columns, *made)
+    leaves = dealt.join(sets.select(F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("shingles").alias("sx")).hint("merge"), "x")
+    pivots = sets.join(degree.hint("merge"), sets.uid == degree.c).select("c", F.col("n").alias("nc"), F.col("shingles").alias("sc"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
+    return leaves.join(pivots.hint("merge"), ["c", "salt"]).select(*pairs.columns, *made)
 
 
 def open_leaves(tried: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -267,10 +267,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = ids.filter("n > 0").groupBy("set1", "set2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("m"))
     several = scratch.write(classes.filter("m > 1"), "classes")  # written, so that a join with a hot class can be split
     member = scratch.write(ids.join(several, ["set1", "set2", "n"]).select("uid", "rep"), "members")
-    single = made.join(member.filter("uid <> rep"), "uid", "left_anti").filter("n > 0")
+    # joins that grow with the input are shuffled at every size, so that small tables show what large ones cost
+    single = made.join(member.filter("uid <> rep").hint("merge"), "uid", "left_anti").filter("n > 0")
     banded = single.select(F.explode("bands").alias("key"), "uid")
     buckets = banded.groupBy("key").agg(F.min("uid").alias("c"), F.count("*").alias("m")).filter("m > 1").select("key", "c")
-    star = scratch.write(banded.join(buckets, "key").filter("uid <> c").select("c", F.col("uid").alias("x")).distinct(), "star")
+    star = scratch.write(banded.join(buckets.hint("merge"), "key").filter("uid <> c").select("c", F.col("uid").alias("x")).distinct(), "star")
     sets = scratch.write(full_sets(rows, star.select(F.explode(F.array("c", "x")).alias("uid")).distinct(), shingle), "sets")
 
     tried = scratch.write(with_sets(star, sets, "nc", "nx", F.size(F.array_intersect("sc", "sx")).cast("long").alias("common")), "tried")
@@ -280,8 +281,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     found = scratch.write(links_within(leaves, sets, percent), "links")
     scratch.drop(sets)
     joined = components(found, scratch).select(F.col("node").alias("label"), F.col("label").alias("joined"))
-    out = made.select("uid", "n").join(member, "uid", "left").withColumn("rep", F.coalesce("rep", "uid"))
-    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    out = made.select("uid", "n").join(member.hint("merge"), "uid", "left").withColumn("rep", F.coalesce("rep", "uid"))
+    out = out.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     out = out.join(joined, "label", "left").select("uid", F.col("n").alias("n_shingles"), F.coalesce("joined", "label").alias("component"))
     if not renamed:
         return out.select(F.col("uid").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("uid") == F.col("component")).alias("kept"), "uid")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import map_arrow
 
@@ -64,11 +65,11 @@ def gone_by_document(*parts: DataFrame) -> DataFrame:
     return rows.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
 
 
-def finish(docs: DataFrame, gone: DataFrame, one: Callable, schema: str, extra: list[str] = ()) -> DataFrame:
-    """Joins each document with its removed windows; ``one(text, starts, ends)`` gives its result columns."""
-    carried = ["doc_id", "uid", *extra]
+def finish(docs: DataFrame, gone: DataFrame, one: Callable, schema: str, carried: list[str] = ("doc_id", "uid")) -> DataFrame:
+    """Joins each document (uid, text, ...) with its removed windows; ``one(text, starts, ends)`` gives its
+    result columns, which follow the carried ones."""
     rows = docs.join(gone, "uid", "left").select(*carried, "text", F.col("gone.s").alias("s"), F.col("gone.e").alias("e"))
-    carried_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carried).schema)
+    made_schema = StructType([*rows.select(*carried).schema.fields, *StructType.fromDDL(schema).fields])
     empty = np.empty(0, np.int64)
 
     def run(batches):
@@ -83,4 +84,4 @@ def finish(docs: DataFrame, gone: DataFrame, one: Callable, schema: str, extra:
             columns = list(zip(*made)) if made else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*[cols[c] for c in carried], *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*carried, *names])
 
-    return map_arrow(rows, run, f"{carried_schema}, {schema}")
+    return map_arrow(rows, run, made_schema)

@@ -2,10 +2,10 @@
 
 Texts are split into pre-tokens where they are read. A task's documents form blocks; a block has a
 vocabulary, its distinct pre-tokens, and each document its frequencies by place in that vocabulary.
-Vocabularies (not documents) are shuffled by pre-token: the pieces of each distinct pre-token of
-the corpus are counted once and joined back to the vocabularies, and those, as piece counts by place,
-to the documents' frequencies. So a pre-token crosses the network once for each block it is in, and a
-very frequent one has as many rows as there are blocks, whose join can be split.
+Vocabularies are shuffled by pre-token, so that all blocks' copies of a pre-token meet where its
+pieces are counted once; the counts go back to the blocks and are joined, by place, to the
+documents' frequencies, which are written in buckets of blocks and never shuffled. A pre-token
+crosses the network once for each block it is in, however often it stands there.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import Scratch, map_arrow
+from .common import Scratch, map_arrow, parts
 
 #: Documents of more tokens are over the limit.
 LIMIT = 1024
 #: A block ends with the batch in which its vocabulary or its frequencies reach these numbers.
-BLOCK_WORDS, BLOCK_PAIRS = 1 << 18, 1 << 22
+BLOCK_WORDS, BLOCK_PAIRS = 1 << 19, 1 << 22
+#: Vocabulary entries in a partition of the count.
+PARTITION_WORDS = 1 << 19
 _SPLIT = "block long, doc_id long, n_bytes long, specials long, at binary, times binary, words array<string>"
 _COUNTED = "doc_id long, n_bytes long, n_tokens long"
 
@@ -97,15 +99,21 @@ def split_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """word, pieces of distinct pre-tokens."""
+    """block, place, pieces of (block, place, word) rows that are dealt by word: a partition counts each
+    of its distinct pre-tokens once."""
 
     def run(batches):
-        one = Pieces(path).one
+        one, known = Pieces(path).one, {}
         for batch in batches:
-            counts = [len(one(w.encode())) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], ["word", "pieces"])
+            found = pa.array(batch.column(2)).dictionary_encode()
+            texts = found.dictionary.to_pylist()
+            for w in texts:
+                if w not in known:
+                    known[w] = len(one(w.encode()))
+            pieces = np.array([known[w] for w in texts], np.int32)[found.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int32())], ["block", "place", "pieces"])
 
-    return map_arrow(words, run, "word string, pieces int")
+    return map_arrow(words, run, "block long, place int, pieces int")
 
 
 def block_sums(documents: pa.Table, vocabulary: pa.Table) -> pa.Table:
@@ -126,12 +134,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     text are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, name)
-    split = scratch.write(split_documents(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path), "split")
-    words = split.filter("words is not null").select(F.col("block").alias("owner"), F.posexplode("words").alias("place", "word"))
-    counts = piece_counts(words.select("word").distinct(), path)
-    vocabulary = words.join(counts.hint("merge"), "word").select("owner", "place", "pieces")
+    split = scratch.write_bucketed(split_documents(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path), "block", "split")
+    words = split.filter("words is not null").select("block", F.posexplode("words").alias("place", "word"))
+    words = words.repartition(max(parts(docs.sparkSession), -(-words.count() // PARTITION_WORDS)), "word")
+    vocabulary = piece_counts(words, path)
     documents = split.filter("words is null").select("block", "doc_id", "n_bytes", "specials", "at", "times")
-    counted = documents.groupBy("block").cogroup(vocabulary.groupBy("owner")).applyInArrow(block_sums, _COUNTED)
+    counted = documents.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInArrow(block_sums, _COUNTED)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

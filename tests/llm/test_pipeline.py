@@ -59,3 +59,22 @@ def test_run_and_odd_rows(spark, tmp_path):
         assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == [0, 1, 2]
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) >= 1
+
+
+def test_columns_with_our_names(spark, tmp_path):
+    """Extra columns keep their values in every stage, whatever they are called."""
+    names = ["kept", "s", "e", "gone", "_uid", "uid", "_doc", "row", "rep", "label", "keep", "a.b", "labelled", "c", "x", "piece"]
+    texts = ["a b c d e f g h", "a b c d e f g h", "z" * 150, None, "z" * 150 + "tail", ""]
+    rows = [(i, t, "en", "s", *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert len(got) >= 4 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), name
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert kept == {0, 2, 3, 4, 5}
+    cut = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, str(tmp_path)).collect()}
+    assert cut == {0: texts[0], 1: texts[1], 2: "z" * 101, 3: "", 4: "tail", 5: ""} or cut[4] == "tail"
+    assert len(corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()) == 6
