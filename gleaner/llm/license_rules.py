@@ -155,6 +155,8 @@ NOTICES = [
     (5, r"(?:gnu )?{name} licen[sc]e" + _VERSION),
     (5, r"{name} licensed"),
 ]
+#: Words that nearly every text has: they tell nothing.
+STOP = frozenset("a an and are as at be by for from in is it of on or that the this to was will".split())
 #: Words that are in most signatures or most texts: a gate takes another word where there is one.
 COMMON = frozenset("a an and any are as at be by can copy covered distributed document file files for foundation free from general identifier in is it license licence licensed may modify must not notice of on open or org other project product public release released software source spdx terms that the this to under use used version was will with work you your".split())
 
@@ -177,9 +179,8 @@ def _items(regex: str) -> list[tuple[str, bool]]:
     return out
 
 
-def gate(regex: str) -> str:
-    """A word that stands in every match of a signature as a whole word: of the literal words outside of
-    all groups one that is not common, the longest. A text without it needs no look at the signature."""
+def clauses(regex: str) -> list[tuple[str, ...]]:
+    """For each whole word that a match holds outside of optional parts: the words it can be."""
     items = _items(regex)
 
     def cut_off(at: int, step: int) -> bool:
@@ -193,21 +194,40 @@ def gate(regex: str) -> str:
             at += step
         return True
 
-    words, at = [], 0
+    def choices(part: str, optional: bool) -> list[str] | None:
+        if optional:
+            return None
+        if re.fullmatch(r"[a-z0-9]", part):
+            return [part]
+        if re.fullmatch(r"\[[a-z0-9]{2,4}\]", part):
+            return list(part[1:-1])
+        return part[3:-1].split("|") if re.fullmatch(r"\(\?:[a-z0-9]+(?:\|[a-z0-9]+)*\)", part) else None
+
+    out, at = [], 0
     while at < len(items):
-        end = at
-        while end < len(items) and re.fullmatch(r"[a-z0-9]", items[end][0]) and not items[end][1]:
+        end, some = at, [""]
+        while end < len(items) and (more := choices(*items[end])):
+            some = [x + y for x in some for y in more]
             end += 1
         if end > at and cut_off(end, 1) and cut_off(at - 1, -1):
-            words.append("".join(c for c, _ in items[at:end]))
+            out.append(tuple(sorted(set(some))))
         at = max(end, at + 1)
-    if not words:
-        raise ValueError(f"no whole word stands in every match of {regex!r}")
-    return max(words, key=lambda w: (w not in COMMON, len(w)))
+    return out
+
+
+def gate(regex: str) -> tuple[str, list[tuple[str, ...]]]:
+    """(A word that stands in every match: the longest that is not common, if there is one; sets of words of
+    each of which every match has one). A text without these words needs no look at the signature."""
+    found = clauses(regex)
+    single = [c[0] for c in found if len(c) == 1]
+    if not single:
+        raise ValueError(f"no one word stands in every match of {regex!r}")
+    word = max(single, key=lambda w: (w not in COMMON, len(w)))
+    return word, sorted({c for c in found if word not in c and not STOP & set(c)})
 
 
-def rules() -> list[tuple[str, str, int, str]]:
-    """(label, gate, tier, regex) of every rule, best tiers first."""
+def rules() -> list[tuple[str, str, list[tuple[str, ...]], int, str]]:
+    """(label, gate, needs, tier, regex) of every rule, best tiers first."""
     made = [(label, tier, regex) for label, some in SIGNATURES.items() for tier, regex in some]
     made += [(label, tier, notice.format(name=name)) for label, names in NAMES.items() for name in names for tier, notice in NOTICES]
-    return sorted(((label, gate(regex), tier, regex) for label, tier, regex in made), key=lambda r: r[2])
+    return sorted(((label, *gate(regex), tier, regex) for label, tier, regex in made), key=lambda r: r[3])

@@ -1,8 +1,8 @@
 """Licence scan: ordered signature rules over a text's words, DataFrame functions only.
 
-A rule is (label, gate, tier, regex) over the text's lower-case words joined by single spaces. The gate
-is a word that stands in every match, so a rule whose gate is not among the text's words is not run,
-and a text with none of them runs no rule. Every detection is a word interval. Of two that overlap the
+A rule is (label, gate, needs, tier, regex) over the text's lower-case words joined by single spaces. The
+gate is a word that stands in every match, and of each set in needs a match has one word, so a rule
+whose gate and needs are not among the text's words is not run, and a text without gates runs none. Every detection is a word interval. Of two that overlap the
 one of the better tier stays, of one tier the longer one (so a contained one goes), then the earlier.
 Detections are taken in the order of their starts: each meets the one kept last, the worse one goes.
 """
@@ -81,17 +81,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = F.col("words")
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     either = "|".join(p for p, _ in BASE)
-    gates = F.array(*[F.lit(k) for k in sorted({k for _, k, _, _ in table})])
+    known = {k for _, k, _, _, _ in table}
+    told = F.array(*[F.lit(k) for k in sorted(known.union(*[c for _, _, needs, _, _ in table for c in needs]))])
     rows = rows.withColumn("n_words", _spaces(words) - 1)
-    rows = rows.withColumn("hits", F.array_intersect(F.split(words, " "), gates))
+    rows = rows.withColumn("hits", F.array_intersect(F.split(words, " "), told))
     rows = rows.withColumn("base", F.when(F.contains(words, F.lit(" license ")), F.struct(
         *[F.regexp_count(words, F.lit(f" {p}(?= )")).cast("long").alias(label) for p, label in BASE],
         F.regexp_extract(words, f"(?s)^(.*? )(?:{either}) ", 1).alias("before_first"),
         F.regexp_extract(words, f"(?s)^(.* )(?:{either}) ", 1).alias("before_last"),
     )))
-    listed = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(t).alias("tier"), F.lit(r).alias("regex")) for a, k, t, r in table])
-    hot = F.filter(listed, lambda r: F.array_contains(F.col("hits"), r["keyword"]))
-    rows = rows.withColumn("found", F.when(F.size("hits") > 0, _resolve(F.flatten(F.transform(hot, lambda r: _detections(F.col("words"), r))))))
+    sets = lambda needs: F.array(*[F.array(*map(F.lit, c)) for c in needs]) if needs else F.array().cast("array<array<string>>")
+    listed = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("gate"), sets(needs).alias("needs"), F.lit(t).alias("tier"), F.lit(r).alias("regex")) for a, k, needs, t, r in table])
+    hot = F.filter(listed, lambda r: F.array_contains(F.col("hits"), r["gate"]) & F.forall(r["needs"], lambda c: F.arrays_overlap(c, F.col("hits"))))
+    gated = F.arrays_overlap("hits", F.array(*[F.lit(k) for k in sorted(known)]))
+    rows = rows.withColumn("found", F.when(gated, _resolve(F.flatten(F.transform(hot, lambda r: _detections(F.col("words"), r))))))
     count = {label: F.coalesce(F.col(f"base.{label}"), F.lit(0).cast("long")) for _, label in BASE}
     n_base = sum(count.values(), F.lit(0).cast("long"))
     base_labels = F.array_compact(F.array(*[F.when(count[x] > 0, x) for x in sorted(count)]))
