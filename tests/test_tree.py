@@ -39,9 +39,18 @@ def test_eager_listing(spark, root):
     assert {"guide.md", "src/code.md", "_private/x.md"} <= paths and not any(p.endswith((".py", ".js", "log.md")) for p in paths)
 
 
-def test_path_guard(root):
-    assert bundle.safe(root, "src/code.md")
-    assert not any(bundle.safe(root, p) for p in ("/etc/passwd", "../x", "src/../guide.md", "node_modules/skip.js", "link.md", "src/up/guide.md", ""))
+def test_lookup_stays_inside(spark, root):
+    asked = ["src/code.md", "/etc/passwd", "../x", "src/../guide.md", "node_modules/skip.js", "link.md", "src/up/guide.md", "", "index.md"]
+    got = {r.path: r.kind for r in bundle.at_paths(bundle.load(spark, root), spark.createDataFrame([(p,) for p in asked], "path string")).collect()}
+    assert got == dict.fromkeys(asked) | {"src/code.md": "file", "index.md": "index"}
+
+
+def test_texts_and_bytes(spark, tmp_path):
+    texts = {"a.txt": b"one\r\ntwo\rthree\n", "b.txt": b"\xff\xfe", "c.txt": b"a\0b", "d.txt": "é\ufeff".encode(), "e.txt": b""}
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content)
+    assert {r.path: r.raw for r in bundle.load(spark, str(tmp_path)).collect()} == {"a.txt": "one\ntwo\nthree\n", "b.txt": None, "c.txt": None, "d.txt": "é\ufeff", "e.txt": ""}
+    assert bundle.load(spark, f"file://{tmp_path}").count() == 5
 
 
 def test_concepts(spark, root):
@@ -64,9 +73,13 @@ def test_sections(spark):
 def test_chunks(spark):
     df = spark.createDataFrame([("a.py", "".join(f"{i}\n" for i in range(81))), ("b.txt", "")], "path string, raw string")
     assert [(r.path, r.start_line, r.end_line, r.heading) for r in corpus.sections(df).collect()] == [("a.py", 1, 80, "Lines 1–80"), ("a.py", 81, 81, "Lines 81–81")]
-    assert [len(c) for c in corpus.text_chunks("x" * 25_000)] == [10_000, 10_000, 5_000]
-    text = "word " * 4_001
-    assert "".join(corpus.text_chunks(text)) == text and all(len(c) <= 10_000 for c in corpus.text_chunks(text))
+    texts = ["x" * 25_000, "word " * 4_001, "", "short", "y" * 10_000, "a " + "z" * 12_000, ("l" * 70 + "\n") * 300, "é" * 6000 + " " + "é" * 6000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", corpus.text_pieces(corpus.F.col("text")).alias("p")).collect()
+    got = {r.i: r.p for r in rows}
+    assert [len(c) for c in got[0]] == [10_000, 10_000, 5_000] and got[2] == [] and got[3] == ["short"] and len(got[4]) == 1
+    for i, text in enumerate(texts):
+        assert "".join(got[i]) == text and all(0 < len(c) <= 10_000 for c in got[i])
+    assert [len(c) for c in got[5]] == [10_000, 2_002] and all(c.endswith("\n") for c in got[6]) and len(got[7][0]) == 6_001
 
 
 def test_lint(spark, root):
@@ -128,7 +141,21 @@ def test_prepare(spark, root, tmp_path):
     assert author.write_indexes(spark.createDataFrame([("src", "new")], "dir string, content string"), root) == 1 and open(f"{root}/src/index.md").read() == "new"
 
 
-def test_guard():
-    assert author.guarded(lambda s, u: "word " * 200, "x").endswith(".") and len(author.guarded(lambda s, u: "word " * 200, "x")) <= 400
-    with pytest.raises(ValueError):
-        author.guarded(lambda s, u: " ", "x")
+def _sentences(spark, answer):
+    rows = spark.createDataFrame([("x",)], "prompt string")
+    return author.sentences(rows, lambda: answer).first().summary
+
+
+def test_sentences(spark):
+    long_ = _sentences(spark, lambda s, u: "word " * 200)
+    assert long_.endswith("word.") and len(long_) <= 400
+    assert _sentences(spark, lambda s, u: " two\n  lines " if "must not" in u else " ") == "two lines"
+    assert _sentences(spark, lambda s, u: "brief" if u.startswith("Make this one") else "word " * 200) == "brief"
+    with pytest.raises(Exception, match="empty summary"):
+        _sentences(spark, lambda s, u: " ")
+
+
+def test_summaries_of_many_pieces(spark):
+    rows = spark.createDataFrame([("d", "a", "a", "word " * 40_000), ("d", "b", "b", ""), ("d", "c", "c", "one")], "dir string, name string, subject string, text string")
+    asked = author._summaries(rows, lambda: lambda s, u: f"g{u.count('- ')}" if u.startswith("Make one") else "p", "dir", "name")
+    assert {r.name: r.summary for r in asked.collect()} == {"a": "g3", "b": "Empty file.", "c": "p"}
