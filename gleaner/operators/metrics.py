@@ -14,60 +14,64 @@ def _rates(found: Column, gold: Column, right: Column, predicted: Column, name:
     return [r.alias(f"{name}_recall"), p.alias(f"{name}_precision"), F.when(r + p == 0, 0.0).otherwise(2 * r * p / (r + p)).alias(f"{name}_f1")]
 
 
-def _all(queries: DataFrame, *counts: DataFrame) -> DataFrame:
-    for c in counts:
-        queries = queries.join(c, "query_id", "left")
-    return queries.fillna(0)
+_LEVELS = ("span", "line", "file")
 
 
-def _count(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("query_id").agg(F.count("*").alias(name))
+def _lines(spans: Column) -> Column:
+    """The distinct lines of an array of spans."""
+    good = F.filter(spans, lambda s: s["start_line"] <= s["end_line"])
+    return F.array_distinct(F.flatten(F.transform(good, lambda s: F.sequence(s["start_line"], s["end_line"]))))
 
 
-def span_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame) -> DataFrame:
-    """hits, gold: query_id, path, start_line, end_line. A gold span is found, and a hit is right, if
-    they overlap; every hit counts, also a repeated one."""
-    h, g = hits.alias("h"), gold.alias("g")
-    meet = (F.col("h.query_id") == F.col("g.query_id")) & (F.col("h.path") == F.col("g.path")) & (F.col("h.start_line") <= F.col("g.end_line")) & (F.col("g.start_line") <= F.col("h.end_line"))
-    rows = _all(queries.select("query_id").distinct(), _count(gold, "ng"), _count(hits, "nh"), _count(g.join(h, meet, "left_semi"), "fg"), _count(h.join(g, meet, "left_semi"), "rh"))
-    return rows.select("query_id", *_rates(F.col("fg"), F.col("ng"), F.col("rh"), F.col("nh"), "span"))
+def _counts(h: Column, g: Column) -> list[Column]:
+    """What one file adds to a ranking's counts at each level: gold (g), found of it (f), predicted (h), right of it (r)."""
+    meets = lambda spans: lambda x: F.exists(spans, lambda y: (x["start_line"] <= y["end_line"]) & (y["start_line"] <= x["end_line"]))
+    hl, gl = _lines(h), _lines(g)
+    both = F.size(F.array_intersect(hl, gl))
+    hit, has = (F.size(h) > 0).cast("int"), (F.size(g) > 0).cast("int")
+    each = {"span": (F.size(g), F.size(F.filter(g, meets(h))), F.size(h), F.size(F.filter(h, meets(g)))), "line": (F.size(gl), both, F.size(hl), both), "file": (has, hit * has, hit, hit * has)}
+    return [c.alias(f"{level}_{n}") for level in _LEVELS for n, c in zip("gfhr", each[level])]
 
 
-def _shared(queries: DataFrame, a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-    keys = a.columns
-    rows = _all(queries.select("query_id").distinct(), _count(b, "ng"), _count(a, "nh"), _count(a.join(b, keys), "both"))
-    return rows.select("query_id", *_rates(F.col("both"), F.col("ng"), F.col("both"), F.col("nh"), name))
+def metrics_at(queries: DataFrame, hits: DataFrame, gold: DataFrame, cutoffs: list[int], levels: tuple[str, ...] = _LEVELS) -> DataFrame:
+    """query_id, k and recall, precision and F1 of each ranking's first k hits, for each cutoff k.
 
+    hits: query_id, rank, path, start_line, end_line; gold: query_id, path, start_line, end_line. A gold
+    span is found, and a hit is right, if they overlap; every hit counts, also a repeated one. Lines and
+    files count once each. All levels and cutoffs come from one pass: hits and gold spans meet by
+    question and file, a file's counts are formed in its row, and their sums are the question's.
+    """
+    span = F.struct("rank", "start_line", "end_line")
+    long_ = lambda df: [F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")]
+    rows = hits.select("query_id", "path", F.col("rank").cast("long").alias("rank"), *long_(hits)).unionByName(gold.select("query_id", "path", F.lit(None).cast("long").alias("rank"), *long_(gold)))
+    files = rows.groupBy("query_id", "path").agg(F.collect_list(F.when(F.col("rank").isNotNull(), span)).alias("h"), F.collect_list(F.when(F.col("rank").isNull(), span)).alias("g"))
+    ks = F.explode(F.array(*map(F.lit, cutoffs))).alias("k")
+    files = files.select("query_id", "h", "g", ks).select("query_id", "k", F.filter("h", lambda x: x["rank"] <= F.col("k")).alias("h"), "g")
+    sums = files.select("query_id", "k", *_counts(F.col("h"), F.col("g"))).groupBy("query_id", "k").agg(*[F.sum(f"{level}_{n}").alias(f"{level}_{n}") for level in levels for n in "gfhr"])
+    every = queries.select("query_id").distinct().select("query_id", ks).join(sums, ["query_id", "k"], "left").fillna(0)
+    return every.select("query_id", "k", *[c for level in levels for c in _rates(F.col(f"{level}_f"), F.col(f"{level}_g"), F.col(f"{level}_r"), F.col(f"{level}_h"), level)])
 
-def line_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame) -> DataFrame:
-    """Over distinct lines."""
-    each = lambda df: df.filter("start_line <= end_line").select("query_id", "path", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
-    return _shared(queries, each(hits), each(gold), "line")
 
+#: A cutoff beyond every rank.
+_ALL = (1 << 31) - 1
 
-def file_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame) -> DataFrame:
-    """Over distinct paths."""
-    each = lambda df: df.select("query_id", "path").distinct()
-    return _shared(queries, each(hits), each(gold), "file")
 
+def all_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame, levels: tuple[str, ...] = _LEVELS) -> DataFrame:
+    """The metrics of whole rankings, whose hits may come without ranks."""
+    hits = hits if "rank" in hits.columns else hits.withColumn("rank", F.lit(1))
+    return metrics_at(queries, hits, gold, [_ALL], levels).drop("k")
 
-def all_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame) -> DataFrame:
-    return span_metrics(queries, hits, gold).join(line_metrics(queries, hits, gold), "query_id").join(file_metrics(queries, hits, gold), "query_id")
 
+def span_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame) -> DataFrame:
+    return all_metrics(queries, hits, gold, ("span",))
 
-def metrics_at(queries: DataFrame, hits: DataFrame, gold: DataFrame, cutoffs: list[int]) -> DataFrame:
-    """The metrics of each ranking's first k hits, for each cutoff k: one pass, with (query, k) as the key."""
-    ks = F.explode(F.array(*map(F.lit, cutoffs))).alias("k")
-    key = F.struct("query_id", "k").alias("query_id")
-    q = queries.select("query_id", ks).select(key)
-    h = hits.select("*", ks).filter("rank <= k").select(key, "path", "start_line", "end_line")
-    g = gold.select("*", ks).select(key, "path", "start_line", "end_line")
-    return _named(all_metrics(q, h, g))
+
+def line_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame) -> DataFrame:
+    return all_metrics(queries, hits, gold, ("line",))
 
 
-def _named(df: DataFrame) -> DataFrame:
-    rest = [c for c in df.columns if c != "query_id"]
-    return df.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.k").alias("k"), *rest)
+def file_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame) -> DataFrame:
+    return all_metrics(queries, hits, gold, ("file",))
 
 
 def strategy_summary(results: DataFrame) -> DataFrame:

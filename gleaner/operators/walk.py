@@ -53,6 +53,9 @@ def _root(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "query", F.lit("").alias("path"), F.lit("dir").alias("kind"), F.expr("cast(array() as array<int>)").alias("key"))
 
 
+_WALKED = "query_id", "path", "key", "calls", "emits", "start_line", "end_line"
+
+
 def tree_decision(edges: DataFrame, options: Callable[[DataFrame], DataFrame], sections: DataFrame | None, queries: DataFrame, scorer: Scorer, cfg: WalkConfig) -> tuple[DataFrame, DataFrame]:
     """(spans, stats) of the best-first walk.
 
@@ -61,54 +64,86 @@ def tree_decision(edges: DataFrame, options: Callable[[DataFrame], DataFrame], s
     files without sections are passed by. spans: query_id, rank, path, start_line, end_line (null
     lines: the whole file). stats: query_id, calls, visited, truncated.
 
-    Every branch that passes its node's threshold is expanded; a node's key lists the rank of each
-    step (a later child is first among equals), so sorting by key is the order of the walk, and
-    running sums over it place the cut that early stop and call budget make.
+    A node's key lists the rank of each step (a later child is first among equals), so the order of
+    the walk is the order of keys. In every wave each question takes its first open node (and the files
+    before it that need no score); what the node would cost is known before it is scored, so nothing
+    is scored once a question has its spans or beyond its budget. All questions' nodes of a wave are one
+    job, and there are about as many waves as nodes that one question scores.
     """
-    frontier, nodes = _root(queries), []
-    for _ in range(cfg.max_depth):
-        dirs = frontier.filter("kind = 'dir'")
-        pairs = dirs.select("query_id", "query", F.col("path").alias("parent"), "key").join(edges, "parent")
-        pairs = pairs.withColumn("n", F.count("*").over(Window.partitionBy("query_id", "parent")))
-        scored = scorer(options(pairs.filter("n > 1")))
-        one = pairs.filter("n = 1").withColumn("option", F.lit("")).withColumn("score", F.lit(1.0))
-        w = Window.partitionBy("query_id", "parent")
-        passed = scored.withColumn("best", F.max("score").over(w)).filter(F.col("score") >= F.greatest(F.lit(cfg.min_probability), F.col("best") * cfg.relative_probability))
-        order = w.orderBy(F.desc(F.round("score", 9)), F.desc("ord"))
-        step = passed.drop("best").unionByName(one.select(*passed.drop("best").columns)).withColumn("r", F.row_number().over(order))
-        calls = _node_calls(scored, "parent").withColumnRenamed("parent", "path")
-        nodes.append(dirs.join(calls, ["query_id", "path"], "left").select("query_id", "path", "kind", "key", F.coalesce("calls", F.lit(0)).alias("calls"), F.lit(0).alias("emits"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line")))
-        files = frontier.filter("kind = 'file'")
-        nodes.append(_files(files, sections, scorer, cfg))
-        frontier = cut_lineage(step.select("query_id", "query", F.col("child").alias("path"), "kind", F.array_append("key", F.col("r")).alias("key")))
-        if frontier.isEmpty():
+    open_ = cut_lineage(_root(queries))
+    state = cut_lineage(queries.select("query_id", F.lit(0).cast("long").alias("calls"), F.lit(0).cast("long").alias("spans"), F.lit(0).cast("long").alias("visited"), F.lit(False).alias("truncated")))
+    walked: DataFrame | None = None
+    whole = cfg.return_files or sections is None
+    while True:
+        able = state.filter((F.col("spans") < cfg.top_k) & ~F.col("truncated")).select("query_id", F.col("calls").alias("spent"), (cfg.top_k - F.col("spans")).alias("room"))
+        now = _next(open_.join(able, "query_id"), whole)
+        asked = options(_children(now, edges)).unionByName(_parts(now, sections, cfg), allowMissingColumns=True)
+        calls = _node_calls(asked.filter("asks"), "parent").withColumnRenamed("parent", "path")
+        priced = now.join(calls, ["query_id", "path"], "left").withColumn("calls", F.coalesce("calls", F.lit(0)).cast("long"))
+        now = cut_lineage(priced.withColumn("fits", (F.col("spent") < cfg.call_budget) & (F.col("spent") + F.col("calls") <= cfg.call_budget)))
+        if now.isEmpty():
             break
-    rows = nodes[0]
-    for more in nodes[1:]:
-        rows = rows.unionByName(more)
-    before = Window.partitionBy("query_id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("spans_before", F.coalesce(F.sum("emits").over(before), F.lit(0))).withColumn("calls_before", F.coalesce(F.sum("calls").over(before), F.lit(0)))
-    enough = F.col("spans_before") >= cfg.top_k
-    spent = (F.col("calls_before") >= cfg.call_budget) | (F.col("calls") > cfg.call_budget - F.col("calls_before"))
+        go = now.filter("fits")
+        todo = options(_children(go, edges)).unionByName(_parts(go, sections, cfg), allowMissingColumns=True)
+        free = todo.filter(~F.col("asks")).withColumn("score", F.lit(1.0))
+        scored = cut_lineage(scorer(todo.filter("asks")).select(*free.columns).unionByName(free))
+        done = cut_lineage(_emitted(go, scored.filter("kind = 'section'"), sections, cfg).select(*_WALKED))
+        walked = done if walked is None else walked.unionByName(done)
+        open_ = cut_lineage(open_.join(now.select("query_id", "path"), ["query_id", "path"], "left_anti").unionByName(_opened(go, scored.filter("kind <> 'section'"), cfg)))
+        made = done.groupBy("query_id").agg(F.sum("calls").alias("c"), F.sum("emits").alias("s"), F.count("*").alias("v"))
+        ended = now.groupBy("query_id").agg(F.bool_or(~F.col("fits")).alias("t"))
+        state = cut_lineage(state.join(made, "query_id", "left").join(ended, "query_id", "left").select(
+            "query_id", *[(F.col(x) + F.coalesce(y, F.lit(0))).alias(x) for x, y in (("calls", "c"), ("spans", "s"), ("visited", "v"))], (F.col("truncated") | F.coalesce("t", F.lit(False))).alias("truncated")))
     upto = Window.partitionBy("query_id").orderBy("key")
-    rows = rows.withColumn("stops", F.max((enough | spent).cast("int")).over(upto)).withColumn("cut", (~enough & spent & (F.coalesce(F.max((enough | spent).cast("int")).over(before), F.lit(0)) == 0)))
-    done = rows.filter("stops = 0")
-    spans = done.filter("emits = 1").withColumn("rank", F.row_number().over(upto)).select("query_id", "rank", "path", "start_line", "end_line")
-    stats = rows.groupBy("query_id").agg(F.sum(F.when(F.col("stops") == 0, F.col("calls")).otherwise(0)).alias("calls"), F.count_if(F.col("stops") == 0).alias("visited"), F.max("cut").alias("truncated"))
-    return spans, stats
+    if walked is None:
+        walked = queries.limit(0).select("query_id", F.lit("").alias("path"), F.expr("cast(array() as array<int>)").alias("key"), *[F.lit(0).alias(c) for c in _WALKED[3:]])
+    spans = walked.filter("emits = 1").withColumn("rank", F.row_number().over(upto)).select("query_id", "rank", "path", "start_line", "end_line")
+    return spans, state.select("query_id", "calls", "visited", "truncated")
+
+
+def _next(open_: DataFrame, whole: bool) -> DataFrame:
+    """The nodes of a wave: each question's first one in the order of keys. Whole files cost nothing, so
+    those that come first go together with the directory after them, as far as there is room for spans."""
+    before = Window.partitionBy("query_id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    priced = F.lit(True) if not whole else F.col("kind") == "dir"
+    rows = open_.withColumn("_priced", F.coalesce(F.sum(priced.cast("int")).over(before), F.lit(0))).withColumn("_n", F.coalesce(F.count("*").over(before), F.lit(0)))
+    return rows.filter((F.col("_priced") == 0) & (F.col("_n") < F.col("room"))).drop("_priced", "_n")
+
+
+def _children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A directory's children; asks: there are several, so that they are scored."""
+    pairs = nodes.filter("kind = 'dir'").select("query_id", "query", F.col("path").alias("parent")).join(edges, "parent")
+    return pairs.withColumn("asks", F.count("*").over(Window.partitionBy("query_id", "parent")) > 1)
+
+
+def _parts(nodes: DataFrame, sections: DataFrame | None, cfg: WalkConfig) -> DataFrame:
+    """A file's sections, unless whole files are asked for."""
+    files = nodes.filter("kind = 'file'").select("query_id", "query", "path")
+    if cfg.return_files or sections is None:
+        return files.limit(0).select("query_id", "query", F.col("path").alias("parent"), F.lit("").alias("child"), F.lit("section").alias("kind"), F.lit(0).alias("ord"), F.lit("").alias("option"), F.lit(True).alias("asks"))
+    return files.join(sections, "path").select("query_id", "query", F.col("path").alias("parent"), F.col("sec_no").cast("string").alias("child"), F.lit("section").alias("kind"), F.col("sec_no").alias("ord"), "option", F.lit(True).alias("asks"))
+
+
+def _opened(nodes: DataFrame, scored: DataFrame, cfg: WalkConfig) -> DataFrame:
+    """Children that pass their node's threshold, with their keys."""
+    w = Window.partitionBy("query_id", "parent")
+    least = F.greatest(F.lit(cfg.min_probability), F.max("score").over(w) * cfg.relative_probability)
+    passed = scored.withColumn("least", least).filter(~F.col("asks") | (F.col("score") >= F.col("least")))
+    ranked = passed.withColumn("r", F.row_number().over(w.orderBy(F.desc(F.round("score", 9)), F.desc("ord"))))
+    keys = nodes.select("query_id", F.col("path").alias("parent"), "key")
+    return ranked.join(keys, ["query_id", "parent"]).select("query_id", "query", F.col("child").alias("path"), "kind", F.array_append("key", F.col("r")).alias("key"))
 
 
-def _files(files: DataFrame, sections: DataFrame | None, scorer: Scorer, cfg: WalkConfig) -> DataFrame:
-    base = files.select("query_id", "query", "path", "key")
+def _emitted(nodes: DataFrame, scored: DataFrame, sections: DataFrame | None, cfg: WalkConfig) -> DataFrame:
+    """The walked nodes; a file emits itself or its best section, of a preamble the whole file."""
     if cfg.return_files or sections is None:
-        return base.select("query_id", "path", F.lit("file").alias("kind"), "key", F.lit(0).alias("calls"), F.lit(1).alias("emits"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
-    rows = base.join(sections, "path").withColumnRenamed("sec_no", "ord").withColumns({"parent": F.col("path"), "child": F.col("ord").cast("string"), "kind": F.lit("section")})
-    scored = scorer(rows)
-    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "path").orderBy(F.desc(F.round("score", 9)), "ord"))).filter("_n = 1")
+        nothing = F.lit(None).cast("int")
+        return nodes.select("query_id", "path", "key", "calls", (F.col("kind") == "file").cast("int").alias("emits"), nothing.alias("start_line"), nothing.alias("end_line"))
+    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "parent").orderBy(F.desc(F.round("score", 9)), "ord"))).filter("_n = 1")
+    best = best.select("query_id", F.col("parent").alias("path"), F.col("ord").alias("sec_no"), "score").join(sections, ["path", "sec_no"])
     whole = F.col("heading") == "(preamble)"
-    best = best.select("query_id", "path", (F.col("score") >= SECTION_MIN).cast("int").alias("emits"), F.when(whole, 1).otherwise(F.col("start_line")).alias("start_line"), F.when(whole, F.col("n_lines")).otherwise(F.col("end_line")).alias("end_line"))
-    out = base.drop("query").join(_node_calls(scored, "path"), ["query_id", "path"]).join(best, ["query_id", "path"])
-    return out.select("query_id", "path", F.lit("file").alias("kind"), "key", "calls", "emits", "start_line", "end_line")
+    best = best.select("query_id", "path", (F.col("score") >= SECTION_MIN).cast("int").alias("emits"), F.when(whole, 1).otherwise(F.col("start_line")).cast("int").alias("start_line"), F.when(whole, F.col("n_lines")).otherwise(F.col("end_line")).cast("int").alias("end_line"))
+    return nodes.select("query_id", "path", "key", "calls").join(best, ["query_id", "path"], "left").withColumn("emits", F.coalesce("emits", F.lit(0)))
 
 
 def tree_reason(edges: DataFrame, gate: Scorer, section_gate: Callable[[DataFrame], DataFrame], queries: DataFrame, cfg: WalkConfig) -> tuple[DataFrame, DataFrame]:

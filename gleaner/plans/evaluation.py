@@ -9,21 +9,34 @@ from gleaner.operators import lexical, metrics
 from gleaner.operators.agents import event_usage
 from gleaner.shared import cut_lineage
 
-from .retrieval import _QTERMS, _UNITS, K, _bm25, _fts, _units
+from .retrieval import _QTERMS, _UNITS, K, UNIT, _bm25, _fts, _units
 from .tables import DOCUMENTS, documents, questions, read
 
 CUTOFFS = [1, 2, 4, 8]
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, path, start_line, end_line: where a question's text stands in a document. The
-    questions, a fixed set of stated queries, meet all documents as one broadcast array."""
-    asked = questions(spark, sf).filter("query <> ''").agg(F.collect_list(F.struct("query_id", "query")).alias("asked")).withColumn("_", F.lit(1))
-    rows = documents(spark, sf).withColumn("_", F.lit(1)).join(F.broadcast(asked), "_")
-    found = rows.select("path", "text", F.explode(F.filter("asked", lambda q: F.contains(F.col("text"), q["query"]))).alias("q"))
+    """query_id, path, start_line, end_line: where a question's text stands in a document.
+
+    The words of a question between its first and last blank stand in such a document as whole words,
+    so documents are found by an equi-join on the question's rarest inner word, then the text is
+    searched. A question of fewer than three words has no such word and is looked for in every text."""
+    asked = questions(spark, sf).filter("query <> ''").withColumn("parts", F.split("query", " "))
+    inner = asked.select("query_id", F.explode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0)))).alias("word")).distinct()
+    docs = documents(spark, sf)
+    words = docs.select("doc_ord", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    meet = cut_lineage(words.join(inner.select("word").distinct(), "word", "left_semi"))
+    spread = inner.join(meet.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    rarest = spread.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).select("query_id", "r.word")
+    pairs = rarest.join(meet, "word").select("query_id", "doc_ord")
+    short = asked.filter(F.size("parts") < 3).select("query_id", "query")
+    rows = pairs.join(asked.select("query_id", "query"), "query_id").join(docs, "doc_ord").select("query_id", "query", "path", "text")
+    if not short.isEmpty():
+        rows = rows.unionByName(docs.join(short, F.contains("text", F.col("query"))).select("query_id", "query", "path", "text"))
+    found = rows.filter(F.contains("text", F.col("query")))
     breaks = lambda c: (F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))).cast("long")
-    start = 1 + breaks(F.expr("substring(text, 1, instr(text, q.query) - 1)"))
-    return cut_lineage(found.select("q.query_id", "path", start.alias("start_line"), (start + breaks(F.col("q.query"))).alias("end_line")))
+    start = 1 + breaks(F.expr("substring(text, 1, instr(text, query) - 1)"))
+    return cut_lineage(found.select("query_id", "path", start.alias("start_line"), (start + breaks(F.col("query"))).alias("end_line")))
 
 
 def _hits(spark: SparkSession, sf: str, search, units: bool) -> DataFrame:
@@ -32,10 +45,9 @@ def _hits(spark: SparkSession, sf: str, search, units: bool) -> DataFrame:
     if not units:
         found = search(docs, questions(spark, sf), K).join(docs, "doc_ord")
         return cut_lineage(found.select("query_id", "rank", "path", F.lit(1).cast("long").alias("start_line"), (F.lit(1) + F.regexp_count("text", F.lit("\n"))).cast("long").alias("end_line")))
-    found = search(_units(spark, sf), questions(spark, sf), K)
-    found = found.withColumn("file", F.floor(F.col("doc_ord") / 100_000)).withColumn("start_line", F.col("doc_ord") % 100_000)
+    found = search(_units(spark, sf), questions(spark, sf), K, key=UNIT)
     # a cut ranking is small and read by every metric, so it is worked out once
-    return cut_lineage(found.join(docs.select(F.col("doc_ord").alias("file"), "path"), "file").select("query_id", "rank", "path", "start_line", (F.col("start_line") + 9).alias("end_line")))
+    return cut_lineage(found.join(docs.select("doc_ord", "path"), "doc_ord").select("query_id", "rank", "path", "start_line", (F.col("start_line") + 9).alias("end_line")))
 
 
 def _bm25_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,9 +77,9 @@ def metrics_at_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     """Scored rows of two strategies at each cutoff; some failed or skipped by a rule."""
-    out = None
+    out, spans = None, gold(spark, sf)
     for name, search, units in (("bm25", lexical.bm25, True), ("fts", lexical.fts, False)):
-        rows = metrics.metrics_at(questions(spark, sf), _hits(spark, sf, search, units), gold(spark, sf), CUTOFFS).withColumn("strategy", F.lit(name))
+        rows = metrics.metrics_at(questions(spark, sf), _hits(spark, sf, search, units), spans, CUTOFFS).withColumn("strategy", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     q = F.col("query_id")
     return out.withColumns({"skipped": q % 17 == 0, "error": F.when(q % 13 == 0, "failed"), "track": F.when(q % 2 == 0, "cold").otherwise("warm"), "latency_ms": (q * 7 % 50).cast("double"), "input_tokens": q * 3, "cost_usd": q * 0.001, "k": F.col("k").cast("long")})
@@ -105,7 +117,7 @@ def agent_usage(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (gold_spans, span_metrics, line_metrics, file_metrics, metrics_at_cutoffs, strategy_summary, recall_by_cutoff_split, repeat_misses, misses, agent_usage)}
 
 _GOLD = "gold AS (SELECT query_id, path, 1 + length(p) - length(replace(p, chr(10), '')) AS start_line, 1 + length(p) - length(replace(p, chr(10), '')) + length(query) - length(replace(query, chr(10), '')) AS end_line FROM (SELECT query_id, path, query, substring(text, 1, instr(text, query) - 1) AS p FROM docs, questions WHERE query <> '' AND contains(text, query)))"
-_BM25_HITS = "SELECT query_id, rank, path, doc_ord % 100000 AS start_line, doc_ord % 100000 + 9 AS end_line FROM bm25 JOIN (SELECT doc_ord AS file, path FROM docs) ON file = doc_ord // 100000"
+_BM25_HITS = "SELECT query_id, rank, path, start_line, start_line + 9 AS end_line FROM bm25 JOIN docs USING (doc_ord)"
 _BASE = f"WITH {DOCUMENTS}, {_QTERMS}, {_UNITS}, {_bm25('units', K)}, {_GOLD}"
 _ONE = f"{_BASE}, hits AS (SELECT 'x' AS strategy, *, 1 AS k FROM ({_BM25_HITS})), qk AS (SELECT 'x' AS strategy, query_id, 1 AS k FROM questions), gk AS (SELECT *, 1 AS k FROM gold)"
 _KS = f"""{_BASE}, {_fts(K)}, ks AS (SELECT CAST(unnest({CUTOFFS}) AS BIGINT) AS k),

@@ -23,17 +23,24 @@ def _ranked(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_ord", F.round("score", 6).alias("score"))
 
 
+def _ranked_units(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_ord", "start_line", F.round("score", 6).alias("score"))
+
+
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(lexical.bm25(documents(spark, sf), questions(spark, sf), K))
 
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
     rows = documents(spark, sf).select("doc_ord", F.explode(chunk_array(F.col("text"), 10)).alias("c"))
-    return rows.select((F.col("doc_ord") * 100_000 + F.col("c.start_line")).alias("doc_ord"), F.col("c.text").alias("text"))
+    return rows.select("doc_ord", F.col("c.start_line").cast("long").alias("start_line"), F.col("c.text").alias("text"))
+
+
+UNIT = ("doc_ord", "start_line")
 
 
 def bm25_topk_section_units(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(lexical.bm25(_units(spark, sf), questions(spark, sf), K))
+    return _ranked_units(lexical.bm25(_units(spark, sf), questions(spark, sf), K, key=UNIT))
 
 
 def fts_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,8 +62,7 @@ def _hits(spark: SparkSession, sf: str, search) -> DataFrame:
 def unique_files(spark: SparkSession, sf: str) -> DataFrame:
     """The best units' files: several units of a file give one row."""
     docs, units = documents(spark, sf), _units(spark, sf)
-    found = lexical.bm25(units, questions(spark, sf), 4 * K).join(units, "doc_ord")
-    hits = found.withColumn("file", F.floor(F.col("doc_ord") / 100_000)).join(docs.select(F.col("doc_ord").alias("file"), "path"), "file")
+    hits = lexical.bm25(units, questions(spark, sf), 4 * K, key=UNIT).join(units, list(UNIT)).join(docs.select("doc_ord", "path"), "doc_ord")
     return fusion.unique_files(hits.select("query_id", "rank", "path", "text"), K).select("query_id", F.col("rank").cast("long").alias("rank"), "path", F.md5("excerpt").alias("excerpt_md5"))
 
 
@@ -104,19 +110,20 @@ def section_preview(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_topk, bm25_topk_section_units, fts_topk, vector_topk, unique_files, rrf_fusion, pool_and_rerank_lexical, pack_context_greedy, line_numbered_context, section_preview)}
 
 _QTERMS = f"{QUESTIONS}, qterms AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest({TOKENS.format('query')}) AS term FROM questions) GROUP BY ALL)"
-_UNITS = f"""units AS (SELECT doc_ord * 100000 + s * 10 + 1 AS doc_ord, path, array_to_string(l[s * 10 + 1 : s * 10 + 10], '') AS text
+_UNITS = f"""units AS (SELECT doc_ord, s * 10 + 1 AS start_line, path, array_to_string(l[s * 10 + 1 : s * 10 + 10], '') AS text
   FROM (SELECT doc_ord, path, l, unnest(range(0, (len(l) + 9) // 10)) AS s FROM (SELECT doc_ord, path, {LINES.format('text')} AS l FROM docs)))"""
 
 
 def _bm25(docs: str, k: int, name: str = "bm25") -> str:
-    return f"""{name}_tok AS (SELECT doc_ord, {TOKENS.format('text')} AS t FROM {docs}),
+    key = "doc_ord, start_line" if docs == "units" else "doc_ord"
+    return f"""{name}_tok AS (SELECT {key}, {TOKENS.format('text')} AS t FROM {docs}),
 {name}_n AS (SELECT count(*) AS n, avg(len(t)) AS m FROM {name}_tok),
-{name}_post AS (SELECT doc_ord, any_value(len) AS len, term, count(*) AS tf FROM (SELECT doc_ord, len(t) AS len, unnest(t) AS term FROM {name}_tok) GROUP BY doc_ord, term),
+{name}_post AS (SELECT {key}, any_value(len) AS len, term, count(*) AS tf FROM (SELECT {key}, len(t) AS len, unnest(t) AS term FROM {name}_tok) GROUP BY {key}, term),
 {name}_df AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM {name}_post GROUP BY term), {name}_n),
 {name}_idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {name}_df) ELSE raw END AS idf FROM {name}_df),
-{name}_s AS (SELECT query_id, doc_ord, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score
+{name}_s AS (SELECT query_id, {key}, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score
   FROM {name}_post JOIN qterms USING (term) JOIN {name}_idf USING (term), {name}_n GROUP BY ALL HAVING sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) > 0),
-{name} AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_ord) AS rank, doc_ord, round(score, 6) AS score FROM {name}_s) WHERE rank <= {k})"""
+{name} AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, {key}) AS rank, {key}, round(score, 6) AS score FROM {name}_s) WHERE rank <= {k})"""
 
 
 def _fts(k: int) -> str:
@@ -144,7 +151,7 @@ ORACLE_SQL = {
     "vector_topk": f"""SELECT * FROM (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank,
   v.vec_id AS doc_ord, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= {K}""",
     "unique_files": f"""WITH {DOCUMENTS}, {_QTERMS}, {_UNITS}, {_bm25('units', 4 * K)},
-hits AS (SELECT query_id, rank, path, text, row_number() OVER (PARTITION BY query_id, path ORDER BY rank) AS n FROM bm25 JOIN units USING (doc_ord)),
+hits AS (SELECT query_id, rank, path, text, row_number() OVER (PARTITION BY query_id, path ORDER BY rank) AS n FROM bm25 JOIN units USING (doc_ord, start_line)),
 firsts AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, path, text FROM hits WHERE n = 1)
 SELECT query_id, rank, path, md5(substring(text, 1, 2400)) AS excerpt_md5 FROM firsts WHERE rank <= {K}""",
     "rrf_fusion": f"WITH {_RANKINGS} SELECT query_id, rank, path, round(score, 9) AS score FROM fused",

@@ -89,6 +89,27 @@ def test_decision_walk_equals_a_stack(spark, seed):
     assert (s.calls, s.truncated) == (calls, cut)
 
 
+def test_decision_walk_scores_nothing_beyond_its_cut(spark):
+    """A wide tree of three levels: with room for one file and five calls no more options are scored than that."""
+    paths = [f"d{i}/e{j}/f{k}.md" for i in range(4) for j in range(4) for k in range(4)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(name):
+        seen.add(1)
+        return 0.5
+
+    edges = corpus.edges(spark.createDataFrame([(p,) for p in paths], "path string"))
+    asked = spark.createDataFrame([(1, "q"), (2, "r")], "query_id int, query string")
+    scorer = lambda rows: rows.withColumn("score", counted.asNondeterministic()("child"))
+    for cfg, calls in ((walk.WalkConfig(top_k=1, call_budget=9, return_files=True), 3), (walk.WalkConfig(top_k=9, call_budget=2, return_files=True), 2)):
+        seen.value = 0
+        spans, stats = walk.tree_decision(edges, lambda r: r.withColumn("option", F.col("child")), None, asked, scorer, cfg)
+        assert {r.calls for r in stats.collect()} == {calls}
+        assert spans.count() == (2 if cfg.top_k == 1 else 0)
+        assert seen.value == 2 * 4 * calls
+
+
 def test_reason_walk_equals_a_queue(spark):
     rnd = random.Random(9)
     paths = tree(rnd)
