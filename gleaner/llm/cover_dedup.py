@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, parts, unique_ids
-from .removal import HOLDER, OCCURRENCE, OPEN, batch_of, byte_digests, finish, gone_by_document, joined, spread
+from .removal import GONE, HOLDER, OCCURRENCE, OPEN, batch_of, byte_digests, finish, gone_by_document, joined, spread
 from .rolling import Spans, merged, signed, sliding
 from .suffix_dedup import gone_rows
 from .words import word_hashes
@@ -120,30 +120,38 @@ def pieces_of_words(hashes: np.ndarray, known: np.ndarray, text: bytes):
     return signed(m[s]), *spans_of_words(text, s, e + WINDOW - 1), s.astype(np.int32), e.astype(np.int32)
 
 
-_DOC = "doc_id long, uid long, n_words long, n_removed long, kept_sha256 string, text string, pieces array<struct<key:bigint,digest:bigint,more:bigint,s:int,e:int>>"
+_DOC = "doc_id long, uid long, n_words long, n_removed long, kept_sha256 string, text string, pieces array<struct<key:bigint,digest:bigint,more:bigint,s:int,e:int,late:boolean>>"
 
 
 def first_look(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Documents without shared anchors, finished; the others with their text and pieces."""
+    """Documents without shared anchors, finished; the others with their text and pieces (late: the piece
+    also stands in a smaller document of the batch, so it goes and need not be sent on)."""
     lists = known.groupBy("uid").agg(F.collect_set("key").alias("known"))
     rows = docs.join(lists, "uid", "left").select("doc_id", "uid", "text", "known")
-    struct = pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.int64()), ("more", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
+    struct = pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.int64()), ("more", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("late", pa.bool_())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), struct]
 
     def run(batches):
         for batch in batches:
             doc, uid, text, lists = (batch.column(i) for i in range(4))
-            out = []
+            uids, out, found, owner = uid.to_numpy(), [], [], []
             for at, hashes, bounds in word_hashes(text):
                 for k, r in enumerate(at.tolist()):
-                    h = hashes[bounds[k] : bounds[k + 1]]
-                    pieces = None
-                    whole = text[r].as_py()
-                    if lists[r].is_valid:
-                        found = pieces_of_words(h, lists[r].values.to_numpy(), whole.encode())
-                        if len(found[0]):
-                            pieces = [dict(zip(("key", "digest", "more", "s", "e"), p)) for p in zip(*(c.tolist() for c in found))]
-                    out.append((doc[r].as_py(), uid[r].as_py(), len(h), 0, None if pieces else hashlib.sha256(b" ".join(whole.encode().split())).hexdigest(), whole if pieces else None, pieces))
+                    h, whole = hashes[bounds[k] : bounds[k + 1]], text[r].as_py()
+                    mine = pieces_of_words(h, lists[r].values.to_numpy(), whole.encode()) if lists[r].is_valid else ()
+                    if some := bool(len(mine) and len(mine[0])):
+                        found.append(mine)
+                        owner.append(np.full(len(mine[0]), len(out)))
+                    out.append([doc[r].as_py(), uids[r], len(h), 0, None if some else hashlib.sha256(b" ".join(whole.encode().split())).hexdigest(), whole if some else None, [] if some else None])
+            if found:
+                key, digest, more, s, e = (np.concatenate(c) for c in zip(*found))
+                owner = np.concatenate(owner)
+                order, first = documents_by_key(key, digest, more, np.array([row[1] for row in out])[owner])
+                late = np.empty(len(key), bool)
+                late[order] = ~first
+                names = ("key", "digest", "more", "s", "e", "late")
+                for o, *p in zip(owner.tolist(), *(c.tolist() for c in (key, digest, more, s, e, late))):
+                    out[o][6].append(dict(zip(names, p)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["doc_id", "uid", "n_words", "n_removed", "kept_sha256", "text", "pieces"])
 
     return map_arrow(rows, run, _DOC)
@@ -222,11 +230,12 @@ def cover_dedup(docs: DataFrame, name: str = "cover_dedup") -> DataFrame:
     looked = scratch.write(first_look(rows, known), "looked")
     scratch.drop(found)
     open_ = looked.filter("pieces is not null")
-    pieces = open_.select("uid", F.explode("pieces").alias("p")).select("p.key", "p.digest", "p.more", "uid", "p.s", "p.e")
-    settled = scratch.write(map_arrow(spread(pieces, n, "key"), settle_documents(True), OCCURRENCE), "settled")
+    pieces = open_.select("uid", F.explode("pieces").alias("p")).select("p.key", "p.digest", "p.more", "uid", "p.s", "p.e", "p.late")
+    settled = scratch.write(map_arrow(spread(pieces.filter("not late").drop("late"), n, "key"), settle_documents(True), OCCURRENCE), "settled")
+    early = pieces.filter("late").select(F.lit(GONE).alias("kind"), "uid", "s", "e")
     windows = scratch.write(window_rows(open_.select("uid", "text"), settled.filter(F.col("kind") == HOLDER)), "windows")
     compared = map_arrow(spread(windows.filter(F.col("kind") == OPEN).select("key", "digest", "more", "uid", "s", "e"), n, "key"), settle_documents(False), OCCURRENCE)
-    gone = gone_by_document(settled, windows, compared)
+    gone = gone_by_document(settled, windows, compared, early)
     done = looked.filter("pieces is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     return done.unionByName(finish(open_.select("doc_id", "uid", "text"), gone, _without, RESULT).drop("uid"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import Scratch, map_arrow
 
 #: Queries sent to the executors at once; with their vectors a few MB.
 CHUNK_QUERIES = 8192
@@ -61,10 +61,11 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray,
     bands = list(range(0, len(block), BAND)) or [0]
     q_left, c_left = remaining(queries, bands), remaining(block, bands)
     if len(block) and q_left[0].max(initial=0) * c_left[0].max(initial=0) >= EXACT:
-        exact = queries.astype(object).T @ block.astype(object)  # beyond double precision: Python's integers
+        whole = [np.vectorize(int, otypes=[object])(m) for m in (queries, block)]
+        exact = whole[0].T @ whole[1]  # beyond double precision: Python's integers
         for q in range(queries.shape[1]):
             own = ids != query_ids[q]
-            best.add(q, exact[q][own].astype(np.int64), ids[own])
+            best.add(q, np.clip(exact[q][own], -(1 << 63), (1 << 63) - 1).astype(np.int64), ids[own])
         return
     partial = queries[:BAND].T @ block[:BAND]  # the first band of all pairs of the block at once
     for q in range(queries.shape[1]):
@@ -96,11 +97,18 @@ def _matrix(column: pa.ListArray, height: int | None = None) -> np.ndarray:
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, chunk: int = CHUNK_QUERIES, **cols) -> DataFrame:
     """query_id, rank, vec_id, score for each vector whose id is divisible by ``every``, against all
-    other ids. Rows that repeat a query's id are not among its candidates; vectors of different
-    lengths are compared as if filled up with zeros; an empty table gives no rows.
+    other ids. Of rows that repeat a query's id the least vector asks, and none is among its
+    candidates; other repeated rows are candidates each. Equal scores are ranked by the smaller id.
+    Vectors of different lengths are compared as if filled up with zeros. Components whose floor, and
+    scores that, leave the range of long are cut to it. Null, empty or non-finite vectors take no
+    part (empty ones score 0); an empty table gives no rows; other columns are ignored.
+
+    The queries are asked chunk by chunk; a chunk's lists are written before the next one is sent, so
+    neither the plan nor what is sent to a task grows with the number of queries.
     """
+    scratch = Scratch(vectors.sparkSession, "topk")
     rows = quantised(vectors, **cols)
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n = asked.count()
     pieces = -(-n // chunk)
     schema = "query_id long, vec_id long, score long"
@@ -125,7 +133,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, chunk: int = CHUNK_
             sizes = [len(x) for x in best.ids]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
 
-        found.append(map_arrow(rows, run, schema))
+        lists = map_arrow(rows, run, schema)
+        found.append(lists if pieces == 1 else scratch.write(lists, "lists"))
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     every_list = found[0]

@@ -37,3 +37,16 @@ def test_odd_vectors(spark):
 def test_beyond_double_precision(spark):
     rows = [(i, [float(np.float32(2.0**20 + i)), float(np.float32(3.0**9 * i))]) for i in range(12)]
     check(spark, rows)
+
+
+def test_repeated_ids_are_stable_and_columns_are_ignored(spark):
+    rows = [(100, [3.0, 1.0], "x", 0.5), (100, [1.0, 2.0], "y", 0.1), (1, [1.0, 0.0], "z", 0.2), (2, [0.0, 1.0], "z", 0.3), (2, [0.0, 1.0], "z", 0.3)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>, query_id string, score double").repartition(3)
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(top_k(df).collect(), key=lambda r: r["rank"])]
+        assert got == [(100, 1, 2, 2 << 20), (100, 2, 2, 2 << 20), (100, 3, 1, 1 << 20)]
+
+
+def test_huge_components_are_cut_to_long(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in sorted(top_k(df).collect(), key=lambda r: r["rank"])] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
