@@ -2,10 +2,11 @@
 
 The content view sees what a text says: hashed words and word shapes. The page view sees what the
 page is like: language, source, length, lines, and shares of kinds of characters, as binned values.
-Each view is a logistic model. Every task fits it to its own rows, in small batches from the last
-round's weights, and the tasks' weights are averaged by the number of rows they saw: first over the
-labelled rows, then in each round also over all rows that the OTHER view labels with confidence.
-Each view's scores are calibrated on labelled documents held out from training, the two calibrated
+Each view is a logistic model, fitted to a bounded sample of the labelled training rows (LABELLED) and,
+in each round, also to the rows of a bounded pool of unlabelled documents (POOL) that the OTHER view
+labels with confidence. Samples are chosen by a hash of the row and put in its order, and fitted in
+one place, so models and scores depend neither on the order of the rows nor on their partitions.
+Each view's scores are calibrated on all labelled documents held out from training, the two calibrated
 views are combined, and every document is scored.
 """
 
@@ -26,6 +27,8 @@ from .common import Scratch, map_arrow
 #: Hashed content features, rounds, and the calibrated
 #: probability from which a view's label is passed to the other.
 CONTENT, ROUNDS, CONFIDENT = 1 << 14, 2, 0.97
+#: Labelled rows that are fitted at most, and unlabelled ones that can get a label (both but for chance).
+LABELLED, POOL = 16_384, 16_384
 #: The last of the content features are for patterns of the whole text; words have the others.
 PATTERNS = 1 << 10
 #: Bins of each page value, a held-out fold in so many, and bins of a calibration curve.
@@ -51,7 +54,7 @@ def content_features(text: str) -> np.ndarray:
             words.add(zlib.crc32(w.encode()) % (CONTENT - PATTERNS))
         rest = _CORE.sub("a", t)
         if rest not in ("a", "a.", "a,"):
-            shapes[rest[:6]] += n
+            shapes[rest] += n
     total = len(tokens)
     for s, n in shapes.items():
         names.add("s" + s)
@@ -134,38 +137,28 @@ def _sums(weights: np.ndarray, flat: np.ndarray, bounds: np.ndarray, values: np.
     return sums[bounds[1:]] - sums[bounds[:-1]] + weights[-1]
 
 
-class Fit:
-    """AdaGrad in batches of MINI rows; an Arrow batch is passed over EPOCHS times, or, while there
-    are few rows so far, until the fit has made STEPS steps."""
-
-    def __init__(self, start: np.ndarray):
-        self.w, self.squares, self.rows, self.steps = start.copy(), np.full(len(start), 1e-6), 0, 0
-
-    def add(self, lists: pa.ListArray, label: np.ndarray, use: np.ndarray) -> None:
-        flat, bounds = _flat(lists)
-        chosen = np.flatnonzero(use)
-        self.rows += len(chosen)
-        sizes = np.diff(bounds)
-        per_epoch = max(1, -(-len(chosen) // MINI))
-        epochs = max(EPOCHS, -(-(STEPS - self.steps) // per_epoch))
-        self.steps += epochs * per_epoch
-        for _ in range(epochs):
-            for at in range(0, len(chosen), MINI):
-                rows = chosen[at : at + MINI]
-                n = sizes[rows]
-                local = np.concatenate([[0], np.cumsum(n)])
-                mine = flat[np.repeat(bounds[rows] - local[:-1], n) + np.arange(local[-1])]
-                x = _values(mine, local)
-                p = 1 / (1 + np.exp(-np.clip(_sums(self.w, mine, local, x), -30, 30)))
-                error = p - label[rows]
-                g = np.bincount(mine, weights=np.repeat(error, n) * x, minlength=len(self.w)) / len(rows)
-                g[-1] += error.mean()
-                g += RIDGE * self.w
-                self.squares += g * g
-                self.w -= RATE * g / np.sqrt(self.squares)
-
-
-#: Rows of a step, least passes over an Arrow batch, least steps of a fit, step length and ridge of the logistic fit.
+def fit(start: np.ndarray, lists: pa.ListArray, label: np.ndarray) -> np.ndarray:
+    """Weights after AdaGrad in batches of MINI rows, in the given order, from the start weights on: EPOCHS
+    passes over the rows, or, if they are few, as many as make STEPS steps."""
+    w, squares = start.copy(), np.full(len(start), 1e-6)
+    flat, bounds = _flat(lists)
+    per_epoch = max(1, -(-len(label) // MINI))
+    for _ in range(max(EPOCHS, -(-STEPS // per_epoch))):
+        for at in range(0, len(label), MINI):
+            local = bounds[at : at + MINI + 1]
+            mine, local = flat[local[0] : local[-1]], local - local[0]
+            x = _values(mine, local)
+            p = 1 / (1 + np.exp(-np.clip(_sums(w, mine, local, x), -30, 30)))
+            error = p - label[at : at + MINI]
+            g = np.bincount(mine, weights=np.repeat(error, np.diff(local)) * x, minlength=len(w)) / len(error)
+            g[-1] += error.mean()
+            g += RIDGE * w
+            squares += g * g
+            w -= RATE * g / np.sqrt(squares)
+    return w
+
+
+#: Rows of a step, least passes, least steps, step length and ridge of the logistic fit.
 MINI, EPOCHS, STEPS, RATE, RIDGE = 64, 4, 250, 0.3, 1e-6
 
 
@@ -193,36 +186,33 @@ def _columns(batch):
     return {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
 
 
-def fit_round(examples: DataFrame, views: dict[str, View], confident: float | None) -> dict[str, View]:
-    """Fits both views to the labelled rows in training folds and, from the second round on, to every
-    unlabelled row that the other view is confident of. The driver gets one average for each weight."""
-
-    def run(batches):
-        fits = {v: Fit(views[v].weights) for v in _VIEWS}
-        for batch in batches:
-            c = _columns(batch)
-            label = c["label"].to_numpy(zero_copy_only=False).astype(np.float64)
-            known = ~np.isnan(label)
-            train = known & (c["fold"].to_numpy() > 0)
-            for v, other in (_VIEWS, _VIEWS[::-1]):
-                target, use = np.nan_to_num(label), train
-                if confident is not None:
-                    p = views[other].probability(views[other].score(c[other]))
-                    told = ~known & (np.maximum(p, 1 - p) >= confident)
-                    target, use = np.where(told, p >= 0.5, target), use | told
-                fits[v].add(c[v], target, use)
-        for v in _VIEWS:
-            w, n = fits[v].w, fits[v].rows
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([v] * len(w)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w * n), pa.array(np.full(len(w), n))], ["view", "feature", "total", "n"])
-
-    out = {v: View(views[v].weights.copy()) for v in _VIEWS}
-    rows = map_arrow(examples, run, "view string, feature int, total double, n long").groupBy("view", "feature").agg((F.sum("total") / F.sum("n")).alias("w"))
-    for view, table in rows.toPandas().groupby("view"):  # as many rows as there are weights
-        out[view].weights[table["feature"].to_numpy()] = table["w"].to_numpy()
+def gathered(rows: DataFrame, n: int, bound: int) -> pa.Table:
+    """About ``bound`` of n rows at most, chosen and ordered by a hash of what they hold."""
+    number = F.xxhash64("doc_id", "content", "page")
+    share = rows if n <= bound else rows.filter(F.pmod(F.xxhash64(F.lit(11), number), F.lit(1 << 30)) < (bound << 30) // n)
+    table = share.select(number.alias("number"), "doc_id", "content", "page", "label").toArrow().combine_chunks()
+    return table.sort_by([("number", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+
+
+def fit_round(labelled: pa.Table, pool: pa.Table, views: dict[str, View], confident: float | None) -> dict[str, View]:
+    """Both views fitted on, from their weights: to the labelled rows, and from the second round on to every
+    row of the pool that the other view is confident of."""
+    out = {}
+    for v, other in (_VIEWS, _VIEWS[::-1]):
+        lists, target = [_list(labelled[v])], [labelled["label"].to_numpy().astype(np.float64)]
+        if confident is not None and pool.num_rows:
+            p = views[other].probability(views[other].score(_list(pool[other])))
+            told = np.maximum(p, 1 - p) >= confident
+            lists.append(_list(pool[v]).filter(pa.array(told)))
+            target.append((p[told] >= 0.5).astype(np.float64))
+        out[v] = View(fit(views[v].weights, pa.concat_arrays(lists), np.concatenate(target)))
     return out
 
 
+def _list(column: pa.ChunkedArray) -> pa.ListArray:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def calibrate(labelled: DataFrame, views: dict[str, View], edges: dict[str, np.ndarray], share: float) -> None:
     """Gives each view a rising curve from score to probability, from held-out counts in CURVE bins;
     a bin without counts has the share of good labels."""
@@ -288,10 +278,14 @@ def train(all_features: DataFrame, labels: DataFrame, scratch: Scratch, rounds:
     if not n or good in (0, n):
         return None, share
     labelled = examples.filter("label is not null")
-    views = fit_round(examples, {v: View(np.zeros(_SIZES[v] + 1)) for v in _VIEWS}, None)
+    counts = examples.groupBy((F.col("label").isNotNull() & (F.col("fold") > 0)).alias("trains"), F.col("label").isNull().alias("open")).count().collect()
+    n_of = {(r.trains, r.open): r["count"] for r in counts}
+    shown = gathered(labelled.filter("fold > 0"), n_of.get((True, False), 0), LABELLED)
+    pool = gathered(examples.filter("label is null"), n_of.get((False, True), 0), POOL)
+    views = fit_round(shown, pool, {v: View(np.zeros(_SIZES[v] + 1)) for v in _VIEWS}, None)
     calibrate(labelled, views, score_edges(labelled, views), share)
     for _ in range(rounds):
-        views = fit_round(examples, views, confident)
+        views = fit_round(shown, pool, views, confident)
         calibrate(labelled, views, score_edges(labelled, views), share)
     return views, share
 
@@ -300,9 +294,10 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident
     """doc_id, content_score, page_score, quality_score, keep for each row of docs (doc_id, text, and
     lang and source if there). The quality score combines the odds of both calibrated views.
 
-    Null or empty text is scored like any other; rows that repeat an id are scored each on their
-    own; extra columns are ignored; without labels of both classes every score is the share of good
-    labels, and every document is kept.
+    Null or empty text is scored like any other, very long texts whole; rows that repeat an id, or have
+    none, are scored each on their own; a document with several labels counts once, as good if any
+    says so; an empty table gives no rows; other columns are ignored; without labels of both classes
+    every score is the share of good labels, and every document is kept.
     """
     scratch = Scratch(docs.sparkSession, name)
     made = scratch.write(features(docs), "features")
