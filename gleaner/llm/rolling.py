@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes handled at once; a longer text is handled in overlapping blocks.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Multipliers and increments of the SplitMix64 and MurmurHash3 mixers.
 _GOLDEN, _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 _LEFT, _RIGHT = U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5)
