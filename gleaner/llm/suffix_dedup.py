@@ -8,7 +8,8 @@ themselves) are dealt into shards by key, and each shard is suffix-sorted by ext
 sorting; neighbours with a common prefix of WINDOW bytes are equal windows, and all but the first
 occurrence go. Keys with very many texts are settled window by window instead, by wide digests
 that spread over all tasks. A cluster never sorts more than these holders, and no shard holds
-more than its share of keys.
+more than its share of keys. A shard's suffixes and their common prefixes need more than the queues
+hold in memory, so they are spilled; the shard's texts are in memory.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .suffix_sort import sort_suffixes
 
 WINDOW, GRAM = 100, 24
 #: Bytes sorted together, and the number of texts of one key from which it is settled by windows.
-SHARD_BYTES, HOT_TEXTS = 2 << 20, 2000
+SHARD_BYTES, HOT_TEXTS = 4 << 20, 2000
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -155,33 +156,20 @@ def _shard_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "uid", "s", "data", "hot"])
 
 
-def equal_windows(data: np.ndarray, order: np.ndarray, window: int) -> np.ndarray:
-    """Whether each suffix in the order shares its first ``window`` symbols with the one before:
-    common prefixes are compared eight bytes at a time, only where all before were equal."""
-    padded = np.concatenate([data, np.zeros(window + 8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(padded) - 7,), (1,), writeable=False)
-    left = np.arange(1, len(order))
-    for at in [*range(0, window - 7, 8), window - 8]:
-        left = left[words[order[left] + at] == words[order[left - 1] + at]]
-    out = np.zeros(len(order), bool)
-    out[left] = True
-    return out
-
-
 def sort_shard(uid: np.ndarray, s: np.ndarray, texts: list[bytes], window: int):
     """(uid, window) of the windows that also occur earlier, by suffix sorting of all texts."""
     sizes = np.array([len(t) + 1 for t in texts])
     data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)  # no UTF-8 text holds this byte
     first = np.cumsum(sizes) - sizes
-    order = sort_suffixes(data, window).astype(np.int64)
+    order, shared = sort_suffixes(data, window)
     owner = np.searchsorted(first, order, "right") - 1
     at = order - first[owner]
+    # whole windows that are equal are neighbours: what stands between them begins with the same bytes
     whole = at + window <= sizes[owner] - 1
-    order, owner, at = order[whole], owner[whole], at[whole]
-    if not len(order):
+    owner, at, shared = owner[whole], at[whole], shared[whole]
+    if not len(owner):
         return
-    same = equal_windows(data, order, window)
-    group = np.cumsum(~same)
+    group = np.cumsum(shared < window)
     doc, place = uid[owner], s[owner] + at
     by = np.lexsort((place, doc, group))
     again = np.zeros(len(by), bool)

@@ -7,6 +7,8 @@ import pytest
 
 from gleaner.llm.rolling import blocks
 from gleaner.llm.suffix_dedup import pieces_of, suffix_dedup
+from gleaner.llm import suffix_sort
+from gleaner.llm import suffix_dedup as suffix_dedup_module
 from gleaner.llm.suffix_sort import sort_suffixes
 
 
@@ -74,12 +76,50 @@ def test_repeated_and_missing_ids(spark):
     assert suffix_dedup(df.limit(0)).collect() == []
 
 
-def test_suffix_sorting_on_disk():
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        text = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(0, 60))).astype(np.uint8)
-        want = sorted(range(len(text)), key=lambda i: list(text[i:]))
-        assert list(sort_suffixes(text, 61)) == want == list(sort_suffixes(text, 61, memory=8, in_memory=2))
+def shared(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize(("memory", "in_memory"), [(1 << 20, 1 << 20), (8, 2)])  # in memory; on disk, with recursion
+def test_order_and_common_prefixes(memory, in_memory):
+    rnd = random.Random(1)
+    for trial in range(150):
+        text = bytearray()
+        while len(text) < rnd.randrange(1, 300):
+            text += bytes([rnd.choice(b"aabc")]) * rnd.choice([1, 1, 2, 3, 60])
+        data, depth = np.frombuffer(bytes(text), np.uint8), rnd.choice([3, 20, 500])
+        order, lcp = sort_suffixes(data, depth, memory, in_memory)
+        cut = [bytes(text[i : i + depth]) for i in order]
+        assert sorted(order.tolist()) == list(range(len(text))) and cut == sorted(cut)
+        assert lcp.tolist() == [0, *(shared(x, y) for x, y in zip(cut, cut[1:]))]
+
+
+def test_shards_spill_at_production_settings(monkeypatch):
+    """A shard of the usual size goes through the file, and its removed windows are those of a plain count."""
+    spilled = []
+    close = suffix_sort.DiskQueue.close
+    monkeypatch.setattr(suffix_sort.DiskQueue, "close", lambda self: (spilled.append(self.spilled), close(self)))
+    rnd = random.Random(2)
+    words = [bytes(rnd.choice(b"abcdefgh ") for _ in range(rnd.randrange(2, 9))) for _ in range(4000)]
+    passage = b" ".join(rnd.choice(words) for _ in range(400))
+    texts = []
+    while sum(map(len, texts)) < suffix_dedup_module.SHARD_BYTES:
+        body = b" ".join(rnd.choice(words) for _ in range(3000))
+        texts.append(body + (passage if rnd.random() < 0.2 else b""))
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 99):
+            w = t[p : p + 100]
+            (want.add((i, p)) if w in seen else seen.add(w))
+    got = set()
+    for batch in suffix_dedup_module.sort_shard(np.arange(len(texts)), np.zeros(len(texts), np.int64), texts, 100):
+        for uid, s, e in zip(batch.column("uid").to_pylist(), batch.column("s").to_pylist(), batch.column("e").to_pylist()):
+            got |= {(uid, p) for p in range(s, e)}
+    assert got == want and len(want) > 10_000
+    assert max(spilled) > 5 * suffix_sort.MEMORY  # several times what the queues may hold
 
 
 def test_strings_that_collide_under_polynomials(spark):
