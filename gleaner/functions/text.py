@@ -31,16 +31,28 @@ def numbered(kept_lines: Column, first: int = 1) -> Column:
     return F.array_join(F.transform(kept_lines, lambda line, i: F.concat(F.lpad((i + first).cast("string"), 5, "0"), F.lit(": "), line)), "")
 
 
-def preview(text: Column, query: Column) -> Column:
-    """A short text whole; of a long one its head and the lines that hold a query term of three characters or more."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"(?U)[\w-]{3,}"), F.lit(0)))
-    matches = F.filter(F.transform(lines(text), bare), lambda line: F.exists(terms, lambda t: F.contains(F.lower(line), t)))
+#: Words of a question that say nothing about what is asked for (fixed values).
+ASKING = ("the", "and", "for", "what", "where", "how", "does")
+
+
+def preview(text: Column, query: Column, start_line: Column | int = 1) -> Column:
+    """A short text whole; of a long one its head and, with their numbers, the lines that hold a query term
+    of three characters or more."""
+    words = F.transform(F.regexp_extract_all(query, F.lit(r"(?U)[\w-]{3,}"), F.lit(0)), F.lower)
+    terms = F.filter(F.array_distinct(words), lambda t: ~t.isin(*ASKING))
+    named = F.transform(lines(text), lambda line, i: F.struct(F.concat(F.lit("L"), (i + start_line).cast("string"), F.lit(": "), bare(line)).alias("shown"), F.lower(line).alias("line")))
+    matches = F.transform(F.filter(named, lambda x: F.exists(terms, lambda t: F.contains(x["line"], t))), lambda x: x["shown"])
     long_ = F.when(F.size(matches) == 0, F.substring(text, 1, PREVIEW_CHARS)).otherwise(
         F.substring(F.concat(F.substring(text, 1, PREVIEW_HEAD), F.lit("\n...\n"), F.array_join(matches, "\n")), 1, PREVIEW_CHARS)
     )
     return F.when(F.char_length(text) <= PREVIEW_CHARS, text).otherwise(long_)
 
 
+def stem(name: Column) -> Column:
+    """A name without its last suffix; a leading dot begins no suffix."""
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
 def title_of(name: Column) -> Column:
     """A directory's title: dashes and underscores to blanks, a capital after anything that is not a letter."""
     spaced = F.translate(name, "-_", "  ")

@@ -15,7 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.agents import first_object
+from gleaner.functions.text import clamp, preview
+from gleaner.operators.agents import first_object, json_object
+from gleaner.operators.routing import match_children, option_batches
+from gleaner.operators.walk import MAX_CHARS, MAX_OPTIONS, QUERY_CHARS
+from gleaner.shared import cut_lineage
 from gleaner.shipping import ship
 
 
@@ -73,18 +77,21 @@ def make_chat(spec: str) -> Chat:
     return RemoteChat(model)
 
 
-def chosen_scores(factory: Callable[[], Chooser]) -> Callable[[DataFrame], DataFrame]:
-    """A walk's scorer: the options of one question and node go to the chooser together."""
+def chosen_scores(factory: Callable[[], Chooser], max_options: int = MAX_OPTIONS, max_chars: int = MAX_CHARS) -> Callable[[DataFrame], DataFrame]:
+    """A walk's scorer: the options of one question and node go to the chooser in as few requests as their
+    number and size allow. A value beyond the options' (for none of them) is dropped."""
 
     def score(options: DataFrame) -> DataFrame:
         ship(options.sparkSession)
-        lists = options.groupBy("query_id", "parent").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("ord", "option"))).alias("o"))
+        state = F.char_length(F.concat(F.lit("User question: "), F.substring("query", 1, QUERY_CHARS)))
+        dealt = option_batches(options, max_options, max_chars, state, "query_id", "parent")
+        lists = dealt.groupBy("query_id", "parent", "batch").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("ord", "option"))).alias("o"))
 
         @F.pandas_udf("array<double>")
         def choose(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             model = factory()
             for question, texts in batches:
-                yield pd.Series([model(q[:500], list(t)) for q, t in zip(question, texts)])
+                yield pd.Series([list(model(q[:QUERY_CHARS], list(t)))[: len(t)] for q, t in zip(question, texts)])
 
         scored = lists.withColumn("s", choose("query", F.col("o.option"))).select("query_id", "parent", F.explode(F.arrays_zip(F.col("o.ord").alias("ord"), F.col("s").alias("score"))).alias("z"))
         return options.join(scored.select("query_id", "parent", "z.ord", "z.score"), ["query_id", "parent", "ord"])
@@ -92,6 +99,57 @@ def chosen_scores(factory: Callable[[], Chooser]) -> Callable[[DataFrame], DataF
     return score
 
 
+def _told(factory: Callable[[], Chat], system: str, prompt: Column, shape: str) -> Column:
+    """The JSON object of a chat model's answer as a struct of a shape; null fields where there is none."""
+
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for prompts in batches:
+            yield prompts.map(lambda p: model(system, p))
+
+    return F.from_json(json_object(ask(prompt)), shape)
+
+
+def reason_gate(factory: Callable[[], Chat], indexes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A tree-reason gate: the model reads a directory's index and children and names those to open. A child
+    is opened only if the answer names it (by path, or by a name that one child has); whatever else the
+    answer says, or if it is no JSON, nothing is. indexes: path, text."""
+
+    def gate(pairs: DataFrame) -> DataFrame:
+        ship(pairs.sparkSession)
+        asked = pairs.groupBy("query_id", "query", "parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "child"))), lambda c: c["child"]), "\n").alias("children"))
+        asked = asked.join(indexes.select(F.col("path").alias("parent"), F.col("text").alias("index")), "parent", "left")
+        prompt = F.concat(F.lit("Question: "), "query", F.lit("\n\nIndex of this directory:\n"), F.coalesce("index", F.lit("")), F.lit("\n\nIts children:\n"), "children")
+        told = _told(factory, 'Which children can hold the answer? Answer with JSON: {"relevant": true or false, "open_dirs": [paths], "open_files": [paths]}', prompt, "open_dirs array<string>, open_files array<string>")
+        named = cut_lineage(asked.select("query_id", "parent", told.alias("a")))
+        none = F.expr("cast(array() as array<string>)")
+        answers = named.select("query_id", "parent", F.explode(F.array_distinct(F.concat(F.coalesce("a.open_dirs", none), F.coalesce("a.open_files", none)))).alias("returned"))
+        found = match_children(answers, pairs.select("parent", "child").distinct()).filter("child is not null").select("query_id", "parent", "child", F.lit(True).alias("opens")).distinct()
+        return pairs.join(found, ["query_id", "parent", "child"], "left")
+
+    return gate
+
+
+def reason_sections(factory: Callable[[], Chat], sections: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A tree-reason section gate: the model reads the previews of a file's sections and names line ranges,
+    which are clamped to the file; an answer that is no JSON, or says it is not relevant without naming
+    any, selects nothing. sections: path, sec_no, start_line, end_line, heading, text, n_lines."""
+
+    def pick(files: DataFrame) -> DataFrame:
+        ship(files.sparkSession)
+        shown = F.format_string("[L%d-%d] %s\n%s", "start_line", "end_line", "heading", preview(F.col("text"), F.col("query"), F.col("start_line")))
+        rows = files.join(sections, "path").groupBy("query_id", "query", "path", "n_lines").agg(F.array_sort(F.collect_list(F.struct("sec_no", shown.alias("shown")))).alias("s"))
+        prompt = F.concat(F.lit("Question: "), "query", F.lit("\n\nSections of "), "path", F.lit(":\n\n"), F.array_join("s.shown", "\n\n"))
+        told = _told(factory, 'Which lines answer the question? Answer with JSON: {"relevant": true or false, "spans": [{"start_line": n, "end_line": n}]}', prompt, "spans array<struct<start_line:int,end_line:int>>")
+        said = cut_lineage(rows.select("query_id", "path", "n_lines", told.alias("a")))
+        spans = said.select("query_id", "path", "n_lines", F.posexplode("a.spans").alias("sec_no", "p")).filter("p.start_line is not null and p.end_line is not null")
+        low, high = clamp(F.col("p.start_line"), F.col("p.end_line"), F.col("n_lines"))
+        return spans.select("query_id", "path", "sec_no", low.alias("start_line"), high.alias("end_line"))
+
+    return pick
+
+
 def relevance(factory: Callable[[], Chooser], query: Column, descriptor: Column) -> Column:
     """A pointwise relevance score of each row, in Arrow batches; rows of one question share a call."""
 
@@ -101,7 +159,7 @@ def relevance(factory: Callable[[], Chooser], query: Column, descriptor: Column)
         for q, d in batches:
             out = pd.Series(0.0, index=q.index)
             for question, rows in d.groupby(q):
-                out.loc[rows.index] = model(question, list(rows))
+                out.loc[rows.index] = list(model(question, list(rows)))[: len(rows)]
             yield out
 
     return score(query, descriptor)

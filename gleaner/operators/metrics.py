@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import judge_score
+
 
 def _rates(found: Column, gold: Column, right: Column, predicted: Column, name: str) -> list[Column]:
     """Recall, precision and F1; both sets empty: 1, one empty: 0."""
@@ -86,6 +88,41 @@ def strategy_summary(results: DataFrame) -> DataFrame:
     )
 
 
+def in_order(summary: DataFrame) -> DataFrame:
+    """Strategies with place: the best recall first, then the fastest, then by name."""
+    return summary.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("span_recall", 9)), F.round("latency_ms", 9), "strategy")))
+
+
+#: Run statistics that are joined to a question's metrics.
+RUN = ("model_calls", "input_tokens", "output_tokens", "latency_ms", "cost_usd")
+
+
+def with_runs(metrics: DataFrame, runs: DataFrame) -> DataFrame:
+    """Metrics of each question with the statistics of its run (0 without one). runs: query_id, RUN columns."""
+    return metrics.join(runs.select("query_id", *RUN), "query_id", "left").fillna(0, list(RUN))
+
+
+def hybrid_means(rows: DataFrame) -> DataFrame:
+    """One row: means over questions without an error, and over those with a mark. rows: query_id, error,
+    answer_score (null: not judged), file_recall, span_recall, candidate_files, context_chars, RUN columns,
+    answer_calls, answer_input_tokens, answer_output_tokens, judge_cost_usd."""
+    done, marked = F.col("error").isNull(), F.col("answer_score").isNotNull()
+    plain = {"file_recall": "file_recall", "span_coverage": "span_recall", "candidate_files": "candidate_files", "context_chars": "context_chars", "latency_ms": "latency_ms", "retrieval_model_calls": "model_calls", "retrieval_input_tokens": "input_tokens", "retrieval_output_tokens": "output_tokens", "cost_usd": "cost_usd"}
+    mean = lambda c, when: F.avg(F.when(when, c.cast("double")))
+    both = {"model_calls": "answer_calls", "input_tokens": "answer_input_tokens", "output_tokens": "answer_output_tokens"}
+    return rows.agg(
+        F.count_if(done).alias("questions"), *[mean(F.col(c), done).alias(name) for name, c in plain.items()], mean(F.col("answer_score"), marked).alias("answer_score"),
+        *[F.coalesce(mean(F.col(c) + F.col(more), marked), mean(F.col(c), done)).alias(c) for c, more in both.items()], mean(F.col("judge_cost_usd"), marked).alias("judge_cost_usd"),
+    )
+
+
+def judged(answers: DataFrame, gold: DataFrame, judge) -> DataFrame:
+    """query_id, answer_score: the mark (1 to 5, as 0 to 1) that ``judge(question, wanted, answer)``, a column
+    function, gives each answer that has a wanted one. answers: query_id, query, answer; gold: query_id, wanted."""
+    rows = answers.join(gold, "query_id")
+    return rows.select("query_id", judge_score(judge(F.col("query"), F.col("wanted"), F.col("answer"))).alias("answer_score"))
+
+
 def recall_by_cutoff(results: DataFrame, gold: DataFrame) -> DataFrame:
     """strategy, k, mean span and file recall, and span recall of queries with one gold file and with several.
     results: strategy, query_id, k, span_recall, file_recall."""

@@ -163,7 +163,8 @@ packed AS (SELECT query_id, rank, path, chars, true AS included, chars AS used F
 SELECT query_id, rank, path, chars, included FROM packed""",
     "line_numbered_context": f"WITH {DOCUMENTS} SELECT doc_ord, length(b) AS chars, md5(b) AS block_md5 FROM (SELECT doc_ord, {_BLOCK} AS b FROM (SELECT doc_ord, path, {LINES.format('text')} AS l FROM docs))",
     "section_preview": f"""WITH {DOCUMENTS}, {_QTERMS}, {_fts(3)},
-shown AS (SELECT query_id, rank, path, text, list_filter(string_split(text, chr(10)), lambda line: len(list_filter(list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_-]{{3,}}')), lambda t: contains(lower(line), t))) > 0) AS m
+shown AS (SELECT query_id, rank, path, text, [x.s for x in list_filter([{{'s': 'L' || CAST(i AS VARCHAR) || ': ' || string_split(text, chr(10))[i], 'l': lower(string_split(text, chr(10))[i])}} for i in range(1, len(string_split(text, chr(10))) + 1)],
+    lambda x: len(list_filter(list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_-]{{3,}}')), lambda t: t NOT IN ('the', 'and', 'for', 'what', 'where', 'how', 'does') AND contains(x.l, t))) > 0)] AS m
   FROM fts JOIN docs USING (doc_ord) JOIN questions USING (query_id)),
 out AS (SELECT query_id, rank, path, CASE WHEN length(text) <= 2400 THEN text WHEN len(m) = 0 THEN substring(text, 1, 2400)
   ELSE substring(substring(text, 1, 400) || chr(10) || '...' || chr(10) || array_to_string(m, chr(10)), 1, 2400) END AS p FROM shown)
