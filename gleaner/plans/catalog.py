@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, retrieval, walks
+from . import corpus, evaluation, retrieval, surfaces, walks
 
-_PLANS = (retrieval, corpus, evaluation, walks)
+_PLANS = (retrieval, corpus, evaluation, walks, surfaces)
 QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 ORACLE_SQL = {k: s for p in _PLANS for k, s in p.ORACLE_SQL.items()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +18,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_cut: list[tuple[SparkSession, str]] = []
+
+
+def _tidy() -> None:
+    for spark, path in _cut:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may be gone when the interpreter ends
+            pass
+
+
+atexit.register(_tidy)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, so that lost executors don't make their plan run again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """The same rows, written once to the shared folder, so that lost executors don't make their plan run
+    again. The table is read anew: unlike a checkpoint it has its own size, not the estimate of the plan
+    that made it, which grows without bound in a loop. It is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _cut.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
