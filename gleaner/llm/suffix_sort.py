@@ -307,22 +307,32 @@ def _names(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, depth: int, me
 
 
 def _doubled(names: np.ndarray, spans: int) -> np.ndarray:
-    """The order of the suffixes of a name string by their first ``spans`` names at least."""
-    rank, width = names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while width < spans and len(rank):
-        second = np.full(len(rank), -1, np.int64)
-        second[:-width] = rank[width:] if width < len(rank) else second[:-width]
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        new = np.ones(len(rank), np.int64)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        ranks = np.cumsum(new) - 1
-        rank = np.empty_like(ranks)
-        rank[order] = ranks
-        if ranks[-1] + 1 == len(ranks):
-            break
-        width *= 2
+    """The order of the suffixes of a name string by their first ``spans`` names at least. A suffix's rank is
+    the first place of its group; only groups of several are sorted again, by the rank ``width`` on."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]])) if n else np.empty(0, np.int64)
+    size = np.diff(np.append(heads, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(heads, size)
+    active, width = order[np.repeat(size > 1, size)], 1
+    while width < spans and len(active):
+        second = np.full(len(active), 0, np.int64)
+        inside = active + width < n
+        second[inside] = rank[active[inside] + width] + 1
+        key = rank[active] * (n + 1) + second
+        by = np.argsort(key)
+        active, key = active[by], key[by]
+        place = np.arange(len(active))
+        old = rank[active]
+        first_old = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), place, 0))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first_new = np.maximum.accumulate(np.where(new, place, 0))
+        order[old + place - first_old] = active
+        rank[active] = old + first_new - first_old
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(active)))
+        active, width = active[np.repeat(size > 1, size)], width * 2
     return order
 
 
@@ -337,7 +347,7 @@ def sort_suffixes(text: np.ndarray, depth: int, memory: int = MEMORY, in_memory:
     if len(lms):
         names = _names(text, s_type, lms, depth, memory)
         if len(names) <= in_memory:
-            lms = lms[_doubled(names, depth)]  # a name stands for one symbol at least
+            lms = lms[_doubled(names, depth // 2 + 1)]  # a name stands for two symbols at least
         else:
             lms = lms[sort_suffixes(names, depth, memory, in_memory)[0]]
     return induce(text, s_type, lms, common_prefixes(text, lms, depth), depth, memory)
