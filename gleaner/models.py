@@ -77,6 +77,22 @@ def make_chat(spec: str) -> Chat:
     return RemoteChat(model)
 
 
+@dataclass
+class ChatChooser:
+    """A chooser made of a chat model: it is asked for a number from 0 to 1 for each option. Where its answer
+    is no such list, every option scores 0, so that nothing is opened on its word."""
+
+    chat: Chat
+
+    def __call__(self, question: str, options: list[str]) -> list[float]:
+        listed = "\n".join(f"{i}. {o}" for i, o in enumerate(options))
+        said = first_object(self.chat('How likely does each option lead to the answer? Answer with JSON: {"scores": [numbers from 0 to 1, one for each option]}', f"User question: {question}\n\n{listed}"))
+        scores = (said or {}).get("scores")
+        if not isinstance(scores, list) or len(scores) < len(options) or not all(isinstance(x, int | float) for x in scores):
+            return [0.0] * len(options)
+        return [min(1.0, max(0.0, float(x))) for x in scores[: len(options)]]
+
+
 def chosen_scores(factory: Callable[[], Chooser], max_options: int = MAX_OPTIONS, max_chars: int = MAX_CHARS) -> Callable[[DataFrame], DataFrame]:
     """A walk's scorer: the options of one question and node go to the chooser in as few requests as their
     number and size allow. A value beyond the options' (for none of them) is dropped."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import models
@@ -27,7 +27,7 @@ class Corpus:
         self.edges = corpus.edges(files)
         self.indexes = bundle.indexes_of(self.tree)
         docs = corpus.retrieval_docs(self.concepts)
-        self.docs = docs.withColumn("doc_ord", F.row_number().over(Window.orderBy(corpus.corpus_order(F.col("path")), "sec_no")).cast("long"))
+        self.docs = docs.withColumn("doc_ord", F.struct(corpus.corpus_order(F.col("path")).alias("path"), "sec_no"))
 
     def sections(self) -> DataFrame:
         return corpus.sections(self.concepts, "raw", ("path", "title", "description", "resource", "n_lines"))
@@ -115,9 +115,11 @@ def _fts(source, queries, top_k, with_models, call_budget):
 
 @BASELINES.add("vsearch", track="warm", needs="embed")
 def _vsearch(source, queries, top_k, with_models, call_budget):
-    """Vectors whose document is gone are passed by."""
-    known = source.vectors.join(source.docs.select("id", "doc_ord"), "id").select("doc_ord", F.col("vector").alias("v"))
-    return _documents(source, vector.vector_search(known, with_models.embed(queries), top_k))
+    """Vectors whose document is gone are passed by; equal scores are in the order of the ids' hashes."""
+    number = F.xxhash64("id")
+    known = source.vectors.join(source.docs.select("id"), "id", "left_semi").select(number.alias("doc_ord"), F.col("vector").alias("v"))
+    found = vector.vector_search(known, with_models.embed(queries), top_k).withColumnRenamed("doc_ord", "number")
+    return _documents(source, found.join(source.docs.select(number.alias("number"), "doc_ord"), "number").drop("number"))
 
 
 @BASELINES.add("rerank")

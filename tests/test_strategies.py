@@ -1,7 +1,9 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner import models, strategies
+from gleaner import cli, evaluate, models, strategies
 from gleaner.operators import corpus, routing
 from gleaner.sources import bundle
 
@@ -69,6 +71,7 @@ def test_vector_search_skips_unknown_documents(spark, source):
     source.vectors = spark.createDataFrame([(i, [float(n), 1.0]) for n, i in enumerate(ids)] + [("gone#0", [9.0, 0.0])], "id string, vector array<double>")
     embed = lambda q: q.withColumn("q", F.array(F.lit(1.0), F.lit(0.0)))
     got = strategies.retrieve("vsearch", source, asked(spark, "x"), 2, strategies.Models(embed=embed)).orderBy("rank").collect()
+    source.vectors = None
     assert len(got) == 2 and got[0].path == ids[-1].split("#")[0]
 
 
@@ -117,3 +120,34 @@ def test_children_and_paths(spark):
     assert [r.path for r in got] == ["docs/two.md", "docs/two.md", "docs/one.md", "docs/two.md", None, None, None]
     row = spark.createDataFrame([(None, 3, None)], "a int, b int, c int")
     assert row.select(routing.field(row, "a", "x", "b"), routing.field(row, "c", default=7)).first() == (3, 7)
+
+
+def test_bench_and_analysis(spark, tmp_path, capsys):
+    root, out = tmp_path / "tree", str(tmp_path / "out")
+    for path, text in FILES.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    gold = [{"path": "left/cats.md", "start_line": 7, "end_line": 8}]
+    lines = [json.dumps({"id": "a", "query": "cats purr loudly", "gold": gold}), "# comment", json.dumps({"id": "b", "query": "zebra", "gold": [{"path": "left/dogs.md", "start_line": 1, "end_line": 2}]})]
+    (tmp_path / "q.jsonl").write_text("\n".join(lines))
+    questions = str(tmp_path / "q.jsonl")
+    broken = strategies.Models(chooser=lambda: lambda q, o: 1 / 0)
+    summary = {r.strategy: r for r in evaluate.bench(spark, str(root), questions, ["bm25", "vsearch", "tree-decision"], [1, 4], out, broken).collect()}
+    assert summary["bm25"].n == 2 and summary["vsearch"].n_skipped == 2 and summary["tree-decision"].n_errors == 2
+    assert summary["bm25"].place == 1 and summary["bm25"].span_recall >= 0.5
+    found = {k: v.collect() for k, v in evaluate.analyze(spark, out, questions).items()}
+    assert [r.strategy for r in found["summary"]][0] == "bm25" and {r.k for r in found["recall"]} == {1, 4}
+    assert found["repeats"][0].strategy == "bm25" and all(r.span_recall < 0.5 for r in found["misses"])
+    (tmp_path / "bad.jsonl").write_text(json.dumps({"id": "a", "query": "x", "gold": [{"path": "gone.md", "start_line": 1, "end_line": 2}]}))
+    with pytest.raises(ValueError, match="unknown file"):
+        evaluate.bench(spark, str(root), str(tmp_path / "bad.jsonl"), ["bm25"], [1], out)
+    assert cli.main(["query", str(root), "cats purr", "--top-k", "1", "--json"]) == 0
+    said = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+    assert said["spans"][0]["path"] == "left/cats.md" and said["stats"]["strategy"] == "bm25"
+    assert open(cli.synopses(spark, str(root))).read().startswith("## left/cats.md")
+
+
+def test_a_chat_model_as_chooser():
+    pick = models.ChatChooser(lambda s, u: 'I think {"scores": [0.2, 3, -1]}')
+    assert pick("q", ["a", "b", "c"]) == [0.2, 1.0, 0.0]
+    assert models.ChatChooser(lambda s, u: "no idea")("q", ["a", "b"]) == [0.0, 0.0]
