@@ -9,6 +9,8 @@ Detections are taken in the order of their starts: each meets the one kept last,
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +84,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     either = "|".join(p for p, _ in BASE)
     known = {k for _, k, _, _, _ in table}
-    told = F.array(*[F.lit(k) for k in sorted(known.union(*[c for _, _, needs, _, _ in table for c in needs]))])
+    # tables go into the plan as one constant each, not as thousands of expressions
+    listed_words = lambda words: F.split(F.lit(" ".join(sorted(words))), " ")
+    told = listed_words(known.union(*[c for _, _, needs, _, _ in table for c in needs]))
     rows = rows.withColumn("n_words", _spaces(words) - 1)
     rows = rows.withColumn("hits", F.array_intersect(F.split(words, " "), told))
     rows = rows.withColumn("base", F.when(F.contains(words, F.lit(" license ")), F.struct(
@@ -90,10 +94,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.regexp_extract(words, f"(?s)^(.*? )(?:{either}) ", 1).alias("before_first"),
         F.regexp_extract(words, f"(?s)^(.* )(?:{either}) ", 1).alias("before_last"),
     )))
-    sets = lambda needs: F.array(*[F.array(*map(F.lit, c)) for c in needs]) if needs else F.array().cast("array<array<string>>")
-    listed = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("gate"), sets(needs).alias("needs"), F.lit(t).alias("tier"), F.lit(r).alias("regex")) for a, k, needs, t, r in table])
+    listed = F.from_json(F.lit(json.dumps([dict(zip(("label", "gate", "needs", "tier", "regex"), r)) for r in table])), "array<struct<label:string,gate:string,needs:array<array<string>>,tier:int,regex:string>>")
     hot = F.filter(listed, lambda r: F.array_contains(F.col("hits"), r["gate"]) & F.forall(r["needs"], lambda c: F.arrays_overlap(c, F.col("hits"))))
-    gated = F.arrays_overlap("hits", F.array(*[F.lit(k) for k in sorted(known)]))
+    gated = F.arrays_overlap("hits", listed_words(known))
     rows = rows.withColumn("found", F.when(gated, _resolve(F.flatten(F.transform(hot, lambda r: _detections(F.col("words"), r))))))
     count = {label: F.coalesce(F.col(f"base.{label}"), F.lit(0).cast("long")) for _, label in BASE}
     n_base = sum(count.values(), F.lit(0).cast("long"))
