@@ -50,8 +50,8 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def href_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Link targets of every page, and constructed ones with dots, fragments and schemes."""
-    rows = read(spark, sf, "pages").select("page_id", F.format_string("a/b%d", F.col("page_id") % 5).alias("base"), F.explode(F.array(
-        F.regexp_extract("html", 'href="([^"]*)"', 1), F.concat(F.lit("../x/"), F.col("page_id").cast("string"), F.lit(".md#part")), F.lit("./y/./z.md"), F.lit("../../../up.md"), F.lit("w/.."), F.lit("#here"), F.col("url"), F.lit(" /abs/../t.md "))).alias("href"))
+    rows = read(spark, sf, "pages").select("page_id", F.format_string("a/b%d", F.col("page_id") % 5).alias("base"), F.explode(F.concat(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), F.array(
+        F.concat(F.lit("../x/"), F.col("page_id").cast("string"), F.lit(".md#part")), F.lit("./y/./z.md"), F.lit("../../../up.md"), F.lit("w/.."), F.lit("#here"), F.col("url"), F.lit(" /abs/../t.md ")))).alias("href"))
     return rows.withColumn("target", links.resolve(F.col("base"), F.col("href")))
 
 
@@ -147,7 +147,7 @@ SELECT doc_ord, s AS sec_no, s * 80 + 1 AS start_line, least(s * 80 + 80, len(l)
 SELECT path || '#-1' AS id, path, CAST(1 AS BIGINT) AS start_line, greatest(1, len({LINES.format('raw')})) AS end_line, '(concept)' AS heading,
   md5(array_to_string([x for x in [path, 'page', title, description, 'web s' || CAST(page_id % 7 AS VARCHAR), coalesce(when_to_use, '')] if x <> ''], chr(10)) || chr(10) || raw) AS text_md5 FROM concepts
 UNION ALL SELECT s.path || '#' || CAST(sec_no AS VARCHAR), s.path, start_line, end_line, heading, md5(title || chr(10) || description || chr(10) || heading || chr(10) || s.text) FROM secs s JOIN concepts c ON c.path = s.path""",
-    "href_resolve": f"""WITH h AS (SELECT page_id, 'a/b' || CAST(page_id % 5 AS VARCHAR) AS base, unnest([regexp_extract(html, 'href="([^"]*)"', 1), '../x/' || CAST(page_id AS VARCHAR) || '.md#part', './y/./z.md', '../../../up.md', 'w/..', '#here', url, ' /abs/../t.md ']) AS href FROM pages)
+    "href_resolve": f"""WITH h AS (SELECT page_id, 'a/b' || CAST(page_id % 5 AS VARCHAR) AS base, unnest(list_concat(regexp_extract_all(html, 'href="([^"]*)"', 1), ['../x/' || CAST(page_id AS VARCHAR) || '.md#part', './y/./z.md', '../../../up.md', 'w/..', '#here', url, ' /abs/../t.md '])) AS href FROM pages)
 SELECT page_id, base, href, {_resolve('base', 'trim(href)')} AS target FROM h""",
     "extract_links": f"WITH {MARKDOWN}, {_LINKS} SELECT path, ord, target FROM links",
     "link_classify": f"WITH {MARKDOWN}, {_LINKS} SELECT path, ord, target, kind FROM kinds",
