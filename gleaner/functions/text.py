@@ -7,23 +7,45 @@ from pyspark.sql import functions as F
 
 #: What ends a line when text is split into lines.
 BREAK = r"\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}"
+#: The same as characters, the usual one first.
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 #: Limits on what is shown to a scorer (fixed values).
 PREVIEW_CHARS, PREVIEW_HEAD, EXCERPT_CHARS, DESCRIPTOR_CHARS = 2400, 400, 4000, 3200
 
 
+def once(value: Column, then) -> Column:
+    """then(value), with the value worked out once for a row: a plain expression is worked out anew wherever
+    it stands, inside a lambda for every element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters, digits and underscores of the lower-case text."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
 def lines(text: Column) -> Column:
-    """Lines with their ends kept; a final break makes no further line."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{BREAK}]*(?:\\r\\n|[{BREAK}])|[^{BREAK}]+"), F.lit(0))
+    """Lines with their ends kept; a final break makes no further line. A pattern is slow on long texts, so
+    those with the usual break alone are split at it."""
+
+    def at_break(parts: Column) -> Column:
+        n = F.size(parts)
+        kept = F.slice(parts, F.lit(1), n - F.when(F.element_at(parts, -1) == "", 1).otherwise(0))
+        return F.transform(kept, lambda line, i: F.when(i < n - 1, F.concat(line, F.lit("\n"))).otherwise(line))
+
+    def split(whole: Column) -> Column:
+        other = F.lit(False)
+        for c in BREAKS[1:]:
+            other = other | F.contains(whole, F.lit(c))
+        matched = F.regexp_extract_all(whole, F.lit(f"[^{BREAK}]*+(?:\\r\\n|[{BREAK}])|[^{BREAK}]++"), F.lit(0))
+        return F.when(other, matched).otherwise(once(F.split(whole, "\n"), at_break))
+
+    return once(F.coalesce(text, F.lit("")), split)
 
 
 def bare(line: Column) -> Column:
     """A line without its end."""
-    return F.regexp_replace(line, f"[{BREAK}]+$", "")
+    return F.rtrim(line, F.lit(BREAKS))
 
 
 def numbered(kept_lines: Column, first: int = 1) -> Column:
@@ -40,12 +62,16 @@ def preview(text: Column, query: Column, start_line: Column | int = 1) -> Column
     of three characters or more."""
     words = F.transform(F.regexp_extract_all(query, F.lit(r"(?U)[\w-]{3,}"), F.lit(0)), F.lower)
     terms = F.filter(F.array_distinct(words), lambda t: ~t.isin(*ASKING))
-    named = F.transform(lines(text), lambda line, i: F.struct(F.concat(F.lit("L"), (i + start_line).cast("string"), F.lit(": "), bare(line)).alias("shown"), F.lower(line).alias("line")))
-    matches = F.transform(F.filter(named, lambda x: F.exists(terms, lambda t: F.contains(x["line"], t))), lambda x: x["shown"])
-    long_ = F.when(F.size(matches) == 0, F.substring(text, 1, PREVIEW_CHARS)).otherwise(
-        F.substring(F.concat(F.substring(text, 1, PREVIEW_HEAD), F.lit("\n...\n"), F.array_join(matches, "\n")), 1, PREVIEW_CHARS)
-    )
-    return F.when(F.char_length(text) <= PREVIEW_CHARS, text).otherwise(long_)
+
+    def matches(found: Column) -> Column:
+        named = F.transform(lines(text), lambda line, i: F.struct(F.concat(F.lit("L"), (i + start_line).cast("string"), F.lit(": "), bare(line)).alias("shown"), F.lower(line).alias("line")))
+        return F.transform(F.filter(named, lambda x: F.exists(found, lambda t: F.contains(x["line"], t))), lambda x: x["shown"])
+
+    def cut(shown: Column) -> Column:
+        marked = F.concat(F.substring(text, 1, PREVIEW_HEAD), F.lit("\n...\n"), F.array_join(shown, "\n"))
+        return F.substring(F.when(F.size(shown) == 0, text).otherwise(marked), 1, PREVIEW_CHARS)
+
+    return F.when(F.char_length(text) <= PREVIEW_CHARS, text).otherwise(once(once(terms, matches), cut))
 
 
 def stem(name: Column) -> Column:
