@@ -85,14 +85,20 @@ HEAD = 4
 def named_paths(texts: DataFrame, paths: DataFrame, label: str) -> DataFrame:
     """texts (id, text) with path: the known path after the label (or that path with .md), else the first
     known path, in their order, that stands in the text, else null. paths: path (of HEAD characters or
-    more), ord. A path in a text is found by an equi-join of its head with the text's pieces of that size."""
+    more), ord. Where a known path's head stands in a text, pieces of the lengths of the paths with this head
+    are taken, and an equi-join on the whole piece finds the path: paths with a common head never meet each
+    other's texts."""
     said = F.regexp_replace(F.regexp_extract("text", re.escape(label) + r":\s*(\S+)", 1), r"[.,;]+$", "")
     known = paths.select(F.col("path").alias("_k"))
     rows = texts.withColumn("_said", said).join(known, F.col("_said") == F.col("_k"), "left")
     rows = rows.join(known.toDF("_m"), F.concat("_said", F.lit(".md")) == F.col("_m"), "left").withColumn("_named", F.coalesce("_k", F.when(~F.col("_said").endswith(".md"), F.col("_m"))))
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - HEAD + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(HEAD))))
-    heads = paths.select("path", "ord", F.substring("path", 1, HEAD).alias("_h"))
-    met = rows.filter("_named is null").select("id", "text", F.explode(pieces).alias("_h")).join(heads, "_h").filter(F.contains("text", F.col("path")))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - HEAD + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(HEAD)))
+    size = F.char_length("path")
+    heads = paths.groupBy(F.substring("path", 1, HEAD).alias("_h")).agg(F.collect_set(size).alias("_sizes"))
+    at = rows.filter("_named is null").select("id", "text", F.posexplode(pieces).alias("_at", "_h")).join(heads, "_h")
+    cut = F.filter("_sizes", lambda n: F.col("_at") + n <= F.char_length("text"))
+    inside = at.select("id", F.explode(F.transform(cut, lambda n: F.substring("text", F.col("_at") + 1, n))).alias("path")).distinct()
+    met = inside.join(paths.select("path", "ord"), "path")
     found = met.groupBy("id").agg(F.min(F.struct("ord", "path")).alias("f")).select("id", F.col("f.path").alias("_inside"))
     return rows.join(found, "id", "left").withColumn("path", F.coalesce("_named", "_inside")).select(*texts.columns, "path")
 
