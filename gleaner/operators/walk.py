@@ -68,8 +68,10 @@ def tree_decision(edges: DataFrame, options: Callable[[DataFrame], DataFrame], s
     the walk is the order of keys. In every wave each question takes its first open node (and the files
     before it that need no score); what the node would cost is known before it is scored, so nothing
     is scored once a question has its spans or beyond its budget. All questions' nodes of a wave are one
-    job, and there are about as many waves as nodes that one question scores.
+    job, and there are about as many waves as nodes that one question scores. What all waves read, the edges
+    and the sections, is worked out once.
     """
+    edges, sections = cut_lineage(edges), None if cfg.return_files or sections is None else cut_lineage(sections)
     open_ = cut_lineage(_root(queries))
     state = cut_lineage(queries.select("query_id", F.lit(0).cast("long").alias("calls"), F.lit(0).cast("long").alias("spans"), F.lit(0).cast("long").alias("visited"), F.lit(False).alias("truncated")))
     walked: DataFrame | None = None
