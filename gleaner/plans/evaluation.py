@@ -45,7 +45,7 @@ def _hits(spark: SparkSession, sf: str, search, units: bool) -> DataFrame:
     if not units:
         found = search(docs, questions(spark, sf), K).join(docs, "doc_ord")
         return cut_lineage(found.select("query_id", "rank", "path", F.lit(1).cast("long").alias("start_line"), (F.lit(1) + F.regexp_count("text", F.lit("\n"))).cast("long").alias("end_line")))
-    found = search(_units(spark, sf), questions(spark, sf), K, key=UNIT)
+    found = search(_units(docs), questions(spark, sf), K, key=UNIT)
     # a cut ranking is small and read by every metric, so it is worked out once
     return cut_lineage(found.join(docs.select("doc_ord", "path"), "doc_ord").select("query_id", "rank", "path", "start_line", (F.col("start_line") + 9).alias("end_line")))
 
@@ -75,9 +75,9 @@ def metrics_at_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("k", F.col("k").cast("long"))
 
 
-def _results(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored rows of two strategies at each cutoff; some failed or skipped by a rule."""
-    out, spans = None, gold(spark, sf)
+def _results(spark: SparkSession, sf: str, spans: DataFrame | None = None) -> DataFrame:
+    """Scored rows of two strategies at each cutoff; some failed or skipped by a rule. spans: the gold, if it is there already."""
+    out, spans = None, gold(spark, sf) if spans is None else spans
     for name, search, units in (("bm25", lexical.bm25, True), ("fts", lexical.fts, False)):
         rows = metrics.metrics_at(questions(spark, sf), _hits(spark, sf, search, units), spans, CUTOFFS).withColumn("strategy", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
@@ -91,7 +91,8 @@ def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recall_by_cutoff_split(spark: SparkSession, sf: str) -> DataFrame:
-    out = metrics.recall_by_cutoff(_results(spark, sf), gold(spark, sf))
+    spans = gold(spark, sf)
+    out = metrics.recall_by_cutoff(_results(spark, sf, spans), spans)
     return out.select("strategy", "k", *[F.round(c, 6).alias(c) for c in ("span_recall", "file_recall", "single", "multi")])
 
 

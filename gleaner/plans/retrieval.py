@@ -31,8 +31,8 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(lexical.bm25(documents(spark, sf), questions(spark, sf), K))
 
 
-def _units(spark: SparkSession, sf: str) -> DataFrame:
-    rows = documents(spark, sf).select("doc_ord", F.explode(chunk_array(F.col("text"), 10)).alias("c"))
+def _units(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_ord", F.explode(chunk_array(F.col("text"), 10)).alias("c"))
     return rows.select("doc_ord", F.col("c.start_line").cast("long").alias("start_line"), F.col("c.text").alias("text"))
 
 
@@ -40,7 +40,7 @@ UNIT = ("doc_ord", "start_line")
 
 
 def bm25_topk_section_units(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked_units(lexical.bm25(_units(spark, sf), questions(spark, sf), K, key=UNIT))
+    return _ranked_units(lexical.bm25(_units(documents(spark, sf)), questions(spark, sf), K, key=UNIT))
 
 
 def fts_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,8 +61,11 @@ def _hits(spark: SparkSession, sf: str, search) -> DataFrame:
 
 def unique_files(spark: SparkSession, sf: str) -> DataFrame:
     """The best units' files: several units of a file give one row."""
-    docs, units = documents(spark, sf), _units(spark, sf)
-    hits = lexical.bm25(units, questions(spark, sf), 4 * K, key=UNIT).join(units, list(UNIT)).join(docs.select("doc_ord", "path"), "doc_ord")
+    docs = documents(spark, sf)
+    best = lexical.bm25(_units(docs), questions(spark, sf), 4 * K, key=UNIT)
+    # only documents with a hit are split again
+    found = docs.join(best.select("doc_ord").distinct(), "doc_ord", "left_semi")
+    hits = best.join(_units(found), list(UNIT)).join(found.select("doc_ord", "path"), "doc_ord")
     return fusion.unique_files(hits.select("query_id", "rank", "path", "text"), K).select("query_id", F.col("rank").cast("long").alias("rank"), "path", F.md5("excerpt").alias("excerpt_md5"))
 
 
