@@ -2,50 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import lexical, metrics
 from gleaner.operators.agents import event_usage
-from gleaner.shared import cut_lineage
+from gleaner.shared import cut_lineage, shared_folder
+from gleaner.shipping import ship
 
-from .retrieval import _QTERMS, _UNITS, K, UNIT, _bm25, _fts, _units
+from .retrieval import _QTERMS, _UNITS, K, _bm25, _fts
 from .tables import DOCUMENTS, documents, questions, read
 
 CUTOFFS = [1, 2, 4, 8]
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, path, start_line, end_line: where a question's text stands in a document.
-
-    The words of a question between its first and last blank stand in such a document as whole words,
-    so documents are found by an equi-join on the question's rarest inner word, then the text is
-    searched. A question of fewer than three words has no such word and is looked for in every text."""
-    asked = questions(spark, sf).filter("query <> ''").withColumn("parts", F.split("query", " "))
-    inner = asked.select("query_id", F.explode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0)))).alias("word")).distinct()
-    docs = documents(spark, sf)
-    words = docs.select("doc_ord", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    meet = cut_lineage(words.join(inner.select("word").distinct(), "word", "left_semi"))
-    spread = inner.join(meet.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
-    rarest = spread.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).select("query_id", "r.word")
-    pairs = rarest.join(meet, "word").select("query_id", "doc_ord")
-    short = asked.filter(F.size("parts") < 3).select("query_id", "query")
-    rows = pairs.join(asked.select("query_id", "query"), "query_id").join(docs, "doc_ord").select("query_id", "query", "path", "text")
-    if not short.isEmpty():
-        rows = rows.unionByName(docs.join(short, F.contains("text", F.col("query"))).select("query_id", "query", "path", "text"))
-    found = rows.filter(F.contains("text", F.col("query")))
-    breaks = lambda c: (F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))).cast("long")
-    start = 1 + breaks(F.expr("substring(text, 1, instr(text, query) - 1)"))
-    return cut_lineage(found.select("query_id", "path", start.alias("start_line"), (start + breaks(F.col("query"))).alias("end_line")))
+    """query_id, path, start_line, end_line: where a question's text stands in a document."""
+    return cut_lineage(lexical.occurrences(documents(spark, sf), questions(spark, sf), ("path",)))
 
 
 def _hits(spark: SparkSession, sf: str, search, units: bool) -> DataFrame:
     """Ranked spans: units of ten lines for BM25, whole files for term frequency."""
     docs = documents(spark, sf)
     if not units:
-        found = search(docs, questions(spark, sf), K).join(docs, "doc_ord")
+        # a cut ranking has its own small size, so it is sent to the texts, which stay where they are
+        found = docs.join(F.broadcast(cut_lineage(search(docs, questions(spark, sf), K))), "doc_ord")
         return cut_lineage(found.select("query_id", "rank", "path", F.lit(1).cast("long").alias("start_line"), (F.lit(1) + F.regexp_count("text", F.lit("\n"))).cast("long").alias("end_line")))
-    found = search(_units(docs), questions(spark, sf), K, key=UNIT)
+    found = search(docs, questions(spark, sf), K, lines=10)
     # a cut ranking is small and read by every metric, so it is worked out once
     return cut_lineage(found.join(docs.select("doc_ord", "path"), "doc_ord").select("query_id", "rank", "path", "start_line", (F.col("start_line") + 9).alias("end_line")))
 
@@ -54,6 +41,19 @@ def _bm25_hits(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf, lexical.bm25, True)
 
 
+def _fts_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(spark, sf, lexical.fts, False)
+
+
+def _side_by_side(spark: SparkSession, sf: str, *made: Callable[[SparkSession, str], DataFrame]) -> list[DataFrame]:
+    """What each gives of the tables, worked out at once: where the last tasks of one leave cores idle, those of
+    another run."""
+    ship(spark)
+    shared_folder(spark)
+    with ThreadPoolExecutor(len(made)) as pool:
+        return [job.result() for job in [pool.submit(inheritable_thread_target(spark)(f), spark, sf) for f in made]]
+
+
 def gold_spans(spark: SparkSession, sf: str) -> DataFrame:
     return gold(spark, sf)
 
@@ -77,9 +77,10 @@ def metrics_at_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf: str, spans: DataFrame | None = None) -> DataFrame:
     """Scored rows of two strategies at each cutoff; some failed or skipped by a rule. spans: the gold, if it is there already."""
-    out, spans = None, gold(spark, sf) if spans is None else spans
-    for name, search, units in (("bm25", lexical.bm25, True), ("fts", lexical.fts, False)):
-        rows = metrics.metrics_at(questions(spark, sf), _hits(spark, sf, search, units), spans, CUTOFFS).withColumn("strategy", F.lit(name))
+    bm25, fts, *found = _side_by_side(spark, sf, _bm25_hits, _fts_hits, *([gold] if spans is None else []))
+    out = None
+    for name, hits in (("bm25", bm25), ("fts", fts)):
+        rows = metrics.metrics_at(questions(spark, sf), hits, *found or [spans], CUTOFFS).withColumn("strategy", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     q = F.col("query_id")
     return out.withColumns({"skipped": q % 17 == 0, "error": F.when(q % 13 == 0, "failed"), "track": F.when(q % 2 == 0, "cold").otherwise("warm"), "latency_ms": (q * 7 % 50).cast("double"), "input_tokens": q * 3, "cost_usd": q * 0.001, "k": F.col("k").cast("long")})
