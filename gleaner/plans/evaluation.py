@@ -67,7 +67,7 @@ def line_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.file_metrics(questions(spark, sf), _bm25_hits(spark, sf), gold(spark, sf))
+    return metrics.file_metrics(questions(spark, sf), *_side_by_side(spark, sf, _bm25_hits, gold))
 
 
 def metrics_at_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
