@@ -71,7 +71,7 @@ def file_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metrics_at_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
-    out = metrics.metrics_at(questions(spark, sf), _bm25_hits(spark, sf), gold(spark, sf), CUTOFFS)
+    out = metrics.metrics_at(questions(spark, sf), *_side_by_side(spark, sf, _bm25_hits, gold), CUTOFFS)
     return out.withColumn("k", F.col("k").cast("long"))
 
 
