@@ -59,7 +59,7 @@ def gold_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def span_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.span_metrics(questions(spark, sf), _bm25_hits(spark, sf), gold(spark, sf))
+    return metrics.span_metrics(questions(spark, sf), *_side_by_side(spark, sf, _bm25_hits, gold))
 
 
 def line_metrics(spark: SparkSession, sf: str) -> DataFrame:
