@@ -63,7 +63,7 @@ def span_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.line_metrics(questions(spark, sf), _bm25_hits(spark, sf), gold(spark, sf))
+    return metrics.line_metrics(questions(spark, sf), *_side_by_side(spark, sf, _bm25_hits, gold))
 
 
 def file_metrics(spark: SparkSession, sf: str) -> DataFrame:
