@@ -75,12 +75,23 @@ def metrics_at_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("k", F.col("k").cast("long"))
 
 
+def _found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ranked spans of both strategies and the gold, from one reading of the texts where the questions are few enough."""
+    asked = questions(spark, sf)
+    if asked.count() > lexical.CHUNK:
+        return tuple(_side_by_side(spark, sf, _bm25_hits, _fts_hits, gold))
+    units, files, places = lexical.search_all(documents(spark, sf), asked, K, 10)
+    spans = lambda hits, start, end: cut_lineage(hits.filter("doc_ord is not null").select("query_id", "rank", "path", start.cast("long").alias("start_line"), end.cast("long").alias("end_line")))
+    return spans(units, F.col("start_line"), F.col("start_line") + 9), spans(files, F.lit(1), F.col("end_line")), places
+
+
 def _results(spark: SparkSession, sf: str, spans: DataFrame | None = None) -> DataFrame:
     """Scored rows of two strategies at each cutoff; some failed or skipped by a rule. spans: the gold, if it is there already."""
-    bm25, fts, *found = _side_by_side(spark, sf, _bm25_hits, _fts_hits, *([gold] if spans is None else []))
+    bm25, fts, found = _found(spark, sf)
+    spans = found if spans is None else spans
     out = None
     for name, hits in (("bm25", bm25), ("fts", fts)):
-        rows = metrics.metrics_at(questions(spark, sf), hits, *found or [spans], CUTOFFS).withColumn("strategy", F.lit(name))
+        rows = metrics.metrics_at(questions(spark, sf), hits, spans, CUTOFFS).withColumn("strategy", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     q = F.col("query_id")
     return out.withColumns({"skipped": q % 17 == 0, "error": F.when(q % 13 == 0, "failed"), "track": F.when(q % 2 == 0, "cold").otherwise("warm"), "latency_ms": (q * 7 % 50).cast("double"), "input_tokens": q * 3, "cost_usd": q * 0.001, "k": F.col("k").cast("long")})
